@@ -293,3 +293,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = t.join(whole, "root")
     first = rest.filter(F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))).withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("fp"))).filter("n > 1").drop("n")
     return rest.filter(~F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))).unionByName(first).select("doc_id", "kept_doc_id", "group_size")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """docs with one row of each group of near duplicates: that of the least id, then of the least hash of its text; null ids
+    come last. Of a row that is given twice one stays. Texts that are null, empty or without letters and digits all stay.
+    All columns stay as they are, whatever their names."""
+    from pyspark.sql import Window
+
+    spark = docs.sparkSession
+    common.ready(spark)
+    doc, txt = "__satchel_doc", "__satchel_txt"
+    keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))).withColumn(txt, F.xxhash64(text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.steps(batch, "text"):
+                fps, has = fingerprints(part.column("text"))
+                yield pa.record_batch([part.column("doc"), part.column("txt"), pa.array(fps.view(np.int64), mask=~has)], names=["doc", "txt", "fp"])
+
+    table = keyed.select(F.col(doc).alias("doc"), F.col(txt).alias("txt"), F.col(text_col).alias("text")).mapInArrow(run, "doc bigint, txt bigint, fp bigint")
+    table, table_path = common.scratch(table.filter("fp is not null"), "fps")
+    distinct, distinct_path = common.scratch(table.select("fp").distinct(), "distinct")
+    links = components(edges(distinct, distance))
+    rooted = table.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("doc", "txt", F.coalesce("root", "fp").alias("root"))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("doc", "txt"))
+    whole = rooted.groupBy("root").count().filter("count > 1")
+    # a row for each (doc, txt) of a group: whether it goes, and how often it is given
+    marks = rooted.join(whole.select("root"), "root", "left_semi").groupBy("root", "doc", "txt").agg(F.count("*").alias("n")).withColumn("place", place)
+    marks, _ = common.scratch(marks.filter("place > 1 or n > 1").select(F.col("doc").alias(doc), F.col("txt").alias(txt), (F.col("place") > 1).alias("__satchel_goes"), (F.col("n") > 1).alias("__satchel_again")), "marks")
+    common.drop(spark, table_path)
+    common.drop(spark, distinct_path)
+    marked = keyed.join(marks, [doc, txt], "left")
+    once = marked.filter("__satchel_goes is null")
+    if not marks.filter("__satchel_again and not __satchel_goes").isEmpty():
+        once = once.unionByName(marked.filter("not __satchel_goes").dropDuplicates([doc, txt]))
+    return once.select(docs.columns)
