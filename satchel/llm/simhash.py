@@ -324,7 +324,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     marks, _ = common.scratch(marks.filter("place > 1 or n > 1").select(F.col("doc").alias(doc), F.col("txt").alias(txt), (F.col("place") > 1).alias("__satchel_goes"), (F.col("n") > 1).alias("__satchel_again")), "marks")
     common.drop(spark, table_path)
     common.drop(spark, distinct_path)
-    marked = keyed.join(marks, [doc, txt], "left")
+    # the marks grow with docs: never broadcast them, whatever the size
+    marked = keyed.join(marks.hint("merge"), [doc, txt], "left")
     once = marked.filter("__satchel_goes is null")
     if not marks.filter("__satchel_again and not __satchel_goes").isEmpty():
         once = once.unionByName(marked.filter("not __satchel_goes").dropDuplicates([doc, txt]))

@@ -157,7 +157,7 @@ def spans_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     want = met.filter("mini is not null").groupBy("doc", "txt").agg(F.collect_list(F.struct("mini", "pos", "n", "hot")).alias("want"))
     # a row that is given twice has its pieces taken twice; sorting counts equal places once
-    taken = table.join(want, ["doc", "txt"]).select("doc", "txt", "text", "want").mapInArrow(take, "mini bigint, doc bigint, txt bigint, pos int, piece binary")
+    taken = table.join(want.hint("merge"), ["doc", "txt"]).select("doc", "txt", "text", "want").mapInArrow(take, "mini bigint, doc bigint, txt bigint, pos int, piece binary")
     found = taken.repartition("mini").sortWithinPartitions("mini").mapInArrow(sort, "doc bigint, txt bigint, pos int, n int, first_doc bigint")
     every = met.filter("mini is null").select("doc", "txt", "pos", "n", "first_doc").unionByName(found)
     every = every.select("doc", "txt", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + (words - 1)).alias("stop"), "first_doc")
@@ -229,7 +229,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc, txt, spans = (f"__satchel_{x}" for x in ("doc", "txt", "spans"))
     cuts = spans_table(docs, id_col, text_col, words).groupBy(F.col("doc").alias(doc), F.col("txt").alias(txt)).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(spans))
     keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))).withColumn(txt, F.xxhash64(text_col))
-    joined = keyed.join(cuts, [doc, txt], "left").drop(doc, txt)
+    # the cuts grow with docs: never broadcast them, whatever the size
+    joined = keyed.join(cuts.hint("merge"), [doc, txt], "left").drop(doc, txt)
     chars = chars_col if chars_col in columns else None
     schema = docs.schema
 
