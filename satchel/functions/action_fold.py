@@ -1,0 +1,53 @@
+"""One item's queued actions, folded in their order. Runs in Python workers."""
+
+from __future__ import annotations
+
+import pandas as pd
+
+OUTCOME = "id bigint, collection string, link_id string, action string, outcome string, error string"
+EFFECT = OUTCOME + ", effect string, target string, flags string, object_hash string, meta string, level int, deleted int"
+
+
+def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    """One item's actions in order of their ids: an outcome for each, and what each does elsewhere; last, the item's new state."""
+    rows = rows.sort_values("id")
+    none = lambda x: None if pd.isna(x) else x
+    first = rows.iloc[0]
+    there, seen = bool(first.there), bool(first.seen)
+    state = [none(first.flags), none(first.object_hash), none(first.meta), none(first.level), none(first.deleted)]
+    touched, out = False, []
+    for r in rows.itertuples():
+        done, error, effect, target = "applied", None, None, None
+        if none(r.bad):
+            done, error = "parked", r.bad
+        elif r.kind == "unknown":
+            done = "skipped"
+        elif r.kind == "add":
+            if not none(r.link_id):
+                done, error = "parked", "no link and no body"
+            elif there and state[4] == 0:
+                done, error = "parked", "already present"
+            else:
+                body = none(r.body)
+                state = [r.new_flags, body, none(r.new_meta), 2 if body else 1 if none(r.new_meta) else 0, 0]
+                there = seen = touched = True
+        elif not there:
+            if r.kind != "remove":
+                done, error = "parked", f"unknown seq: {int(r.seq)}"
+        elif not seen:
+            if r.kind != "remove":
+                done, error = "parked", "item isn't projected"
+        elif r.kind == "set-flags":
+            state[0], touched = r.new_flags, True
+        elif r.kind == "update":
+            state[1], state[3], touched = r.body, 2, True
+            state[2] = none(r.new_meta) or state[2]
+        else:
+            if r.kind in ("move", "copy"):
+                effect, target = "copy", r.to
+            if r.kind in ("move", "remove"):
+                state[4], touched = 1, True
+        out.append([r.id, r.collection, none(r.link_id), r.action, done, error, effect, target, *state])
+    if touched:
+        out.append([int(rows.id.iloc[-1]), first.collection, none(first.link_id), None, None, None, "state", first.collection, *state])
+    return pd.DataFrame(out, columns=[c.split()[0] for c in EFFECT.split(", ")])
