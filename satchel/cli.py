@@ -28,7 +28,8 @@ def duration(text: str) -> int:
 
 def cutoff(age: str, now: dt.datetime) -> str:
     """The instant so long ago, no earlier than 1970."""
-    at = max(now - dt.timedelta(seconds=min(duration(age), 10**11)), dt.datetime(1970, 1, 1, tzinfo=dt.UTC))
+    start = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+    at = now - dt.timedelta(seconds=min(duration(age), (now - start).total_seconds()))
     return at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
 
 

@@ -14,7 +14,7 @@ def fold(rows: pd.DataFrame) -> pd.DataFrame:
     none = lambda x: None if pd.isna(x) else x
     first = rows.iloc[0]
     there, seen = bool(first.there), bool(first.seen)
-    state = [none(first.flags), none(first.object_hash), none(first.meta), none(first.level), none(first.deleted)]
+    state = [none(first[c]) for c in ("flags", "object_hash", "meta", "level", "deleted")]
     touched, out = False, []
     for r in rows.itertuples():
         done, error, effect, target = "applied", None, None, None
