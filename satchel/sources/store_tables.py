@@ -83,20 +83,23 @@ def oracle(select: str) -> str:
     return "with " + ",\n".join(f"{name} as ({text})" for name, text in definitions(DUCK).items()) + "\n" + select
 
 
-_OPEN: dict[tuple[str, str], dict[str, str]] = {}
+_OPEN: dict[str, tuple[SparkSession, dict[str, DataFrame]]] = {}
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The store tables of a data folder, by name; blobs lists what lies in the blob folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _OPEN:
-        raw = {n: f"select * from parquet.`{sf_dir}/{n}.parquet`" for n in RAW}
-        own = definitions(SPARK)
-        done: dict[str, str] = {}
-        for name in ("base", "items", "bindings", "queue", "collections", "objects", "sources", "meta", "blobs"):
-            ctes = [*raw.items(), *((n, f"select * from parquet.`{done[n]}`" if n in done else t) for n, t in own.items())]
-            path = session.fresh_path(spark, name)
-            spark.sql("with " + ", ".join(f"{n} as ({t})" for n, t in ctes) + f" select * from {name}").write.parquet(path)
-            done[name] = path
-        _OPEN[key] = done
-    return {n: spark.read.parquet(p) for n, p in _OPEN[key].items()}
+    """The store tables of a data folder, by name; blobs lists what lies in the blob folder. The scans are kept for the session, so
+    files are listed and schemas read once; a session that has been stopped has its tables written anew."""
+    if sf_dir in _OPEN and _OPEN[sf_dir][0] is spark and spark.sparkContext._jsc is not None:
+        return dict(_OPEN[sf_dir][1])
+    raw = {n: f"select * from parquet.`{sf_dir}/{n}.parquet`" for n in RAW}
+    own = definitions(SPARK)
+    done: dict[str, str] = {}
+    scans: dict[str, DataFrame] = {}
+    for name in ("base", "items", "bindings", "queue", "collections", "objects", "sources", "meta", "blobs"):
+        ctes = [*raw.items(), *((n, f"select * from parquet.`{done[n]}`" if n in done else t) for n, t in own.items())]
+        done[name] = session.fresh_path(spark, name)
+        df = spark.sql("with " + ", ".join(f"{n} as ({t})" for n, t in ctes) + f" select * from {name}")
+        df.write.parquet(done[name])
+        scans[name] = spark.read.schema(df.schema).parquet(done[name])
+    _OPEN[sf_dir] = (spark, scans)
+    return dict(scans)
