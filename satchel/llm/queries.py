@@ -40,7 +40,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(common.documents(spark, sf_dir))
+    return simhash.near_duplicates(common.documents(spark, sf_dir), reach=simhash.REACH)
 
 
 def op10_rans_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,13 @@ have embeddings within Manhattan distance 7, so at least two of the nine blocks
 cell for each pair of blocks and their counts, and every pair in range meets in a cell. There the Manhattan bound drops most
 pairs and the Hamming distance decides exactly. Groups are the connected components of the pairs found.
 
-Cells are split into square tiles where they are large (a cell's size is counted; there are at most 36 * 3**8 cells whatever
-the data), equal fingerprints are joined before the search, and each tile returns a spanning forest of its pairs, so neither
+Copies with scattered edits lie a little further apart, where by chance unlike texts do too, the more the larger the table.
+With a reach (op9 has REACH), fingerprints beyond the distance but within the reach are candidates, found in a grid of
+reach + 2 blocks; they count as copies if in a sketch, SKETCH more words of SimHash from other hashes of the same words, at
+most APART bits differ. The sketch travels with the fingerprint, so a candidate is decided where it is found.
+
+Cells are split into square tiles where they are large (a cell's size is counted; there are at most 36 * 3**8 cells, or
+66 * 3**6 for the reach, whatever the data), equal fingerprints are joined before the search, and each tile returns a spanning forest of its pairs, so neither
 the tasks nor what they return grow with the square of a group.
 """
 
@@ -29,12 +34,10 @@ from satchel.llm.pretok import LETTER, NUMBER, TOP, hashes, tables
 from satchel.llm.words import mix
 
 BITS, SEGMENT, DISTANCE, BLOCKS = 64, 2, 7, 9
+#: Distance up to which the sketch decides, 64-bit words of a sketch, bits of it that may differ.
+REACH, SKETCH, APART = 10, 2, 20
 #: Rows of a tile's side.
 TILE = 1 << 15
-#: The segments of each block: nine blocks of three or four of the 32 segments.
-PARTS = np.array_split(np.arange(BITS // SEGMENT), BLOCKS)
-PAIRS = list(combinations(range(BLOCKS), 2))
-CELLS = 3 ** (2 * max(map(len, PARTS)))
 
 
 @lru_cache(1)
@@ -51,11 +54,17 @@ def lower() -> np.ndarray:
 
 def fingerprints(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The fingerprint of each text and whether it has one (a text without letters and digits has none)."""
+    out, has = signatures(arr, 1)
+    return out[:, 0], has
+
+
+def signatures(arr: pa.Array, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint of each text and count - 1 words of its sketch, and whether it has one."""
     col = pc.fill_null(arr, "")
     chars = pc.utf8_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
     cps = lower()[np.frombuffer("".join(col.to_pylist()).encode("utf-32-le"), np.uint32)]
     n, rows = len(cps), len(arr)
-    out, has = np.zeros(rows, np.uint64), np.zeros(rows, bool)
+    out, has = np.zeros((rows, count), np.uint64), np.zeros(rows, bool)
     if not n:
         return out, has
     first = np.zeros(n + 1, bool)
@@ -73,13 +82,14 @@ def fingerprints(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort((doc.astype(np.uint64) << np.uint64(44)) | (hashes(cps, starts, ends) >> np.uint64(20)))
     keys = keys[np.append(True, keys[1:] != keys[:-1])]
     doc = (keys >> np.uint64(44)).astype(np.int64)
-    bits = mix(keys & np.uint64((1 << 44) - 1)).view(np.uint8).reshape(-1, 8)
+    keys &= np.uint64((1 << 44) - 1)
+    bits = np.stack([mix(keys | np.uint64(k << 44)) for k in range(count)], 1).view(np.uint8)
     at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     for a, b in zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=True):
-        ones = np.zeros(BITS, np.int64)
+        ones = np.zeros(BITS * count, np.int64)
         for c in range(a, b, 1 << 15):
             ones += np.unpackbits(bits[c : min(b, c + (1 << 15))], axis=1, bitorder="little").sum(0, dtype=np.int32)
-        out[doc[a]] = np.packbits(2 * ones > b - a, bitorder="little").view(np.uint64)[0]
+        out[doc[a]] = np.packbits(2 * ones > b - a, bitorder="little").view(np.uint64)
     has[doc[at]] = True
     return out, has
 
@@ -90,12 +100,13 @@ def counts(fps: np.ndarray) -> np.ndarray:
     return bits.reshape(len(fps), BITS // SEGMENT, SEGMENT).sum(2, dtype=np.int32)
 
 
-def cells(fps: np.ndarray) -> np.ndarray:
-    """The cell of each fingerprint for each pair of blocks: a row of 36 numbers."""
+def cells(fps: np.ndarray, blocks: int = BLOCKS) -> np.ndarray:
+    """The cell of each fingerprint for each pair of blocks: a row of 36 numbers for nine blocks."""
     e = counts(fps)
-    block = [e[:, p] @ (3 ** np.arange(len(p))) for p in PARTS]
-    width = 3 ** max(map(len, PARTS))
-    return np.stack([k * CELLS + block[a] * width + block[b] for k, (a, b) in enumerate(PAIRS)], 1).astype(np.int64)
+    parts = np.array_split(np.arange(BITS // SEGMENT), blocks)
+    block = [e[:, p] @ (3 ** np.arange(len(p))) for p in parts]
+    width = 3 ** max(map(len, parts))
+    return np.stack([k * width**2 + block[a] * width + block[b] for k, (a, b) in enumerate(combinations(range(blocks), 2))], 1).astype(np.int64)
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,32 +127,41 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def close(x: np.ndarray, y: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the distance: of x with itself, or of x with y. Rows in order of their ones in all; the Manhattan
-    distance over whole fingerprints, the difference of those, bounds which of them can meet."""
+def close(x: np.ndarray, y: np.ndarray | None, distance: int, reach: int | None = None, sx: np.ndarray | None = None, sy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the distance, and given sketches those within the reach whose sketches agree: of x with itself, or of x
+    with y. Rows in order of their ones in all; the Manhattan distance over whole fingerprints, the difference of those,
+    bounds which of them can meet."""
     same = y is None
-    y = x if same else y
+    y, sy = (x, sx) if same else (y, sy)
+    far = distance if sx is None else max(distance, reach)
     i, j = np.argsort(np.bitwise_count(x), kind="stable"), np.argsort(np.bitwise_count(y), kind="stable")
     x, y = x[i], y[j]
     px, py = np.bitwise_count(x).astype(int), np.bitwise_count(y).astype(int)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for a in range(0, len(x), 512):
         b = min(a + 512, len(x))
-        lo, hi = np.searchsorted(py, px[a] - distance), np.searchsorted(py, px[b - 1] + distance, "right")
+        lo, hi = np.searchsorted(py, px[a] - far), np.searchsorted(py, px[b - 1] + far, "right")
         if same:
             lo = max(lo, a)
         for c in range(lo, hi, 2048):
             d = min(c + 2048, hi)
-            p, q = np.nonzero(np.bitwise_count(x[a:b, None] ^ y[None, c:d]) <= distance)
+            gap = np.bitwise_count(x[a:b, None] ^ y[None, c:d])
+            p, q = np.nonzero(gap <= far)
+            gap = gap[p, q]
             p, q = i[p + a], j[q + c]
+            if sx is not None:
+                copy = gap <= distance
+                doubt = np.flatnonzero(~copy)
+                copy[doubt] = np.bitwise_count(sx[p[doubt]] ^ sy[q[doubt]]).sum(1, dtype=np.int64) <= APART
+                p, q = p[copy], q[copy]
             keep = p != q if same else slice(None)
             out.append((p[keep], q[keep]))
     return tuple(np.concatenate([z[k] for z in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
 
 
-def near(x: np.ndarray, y: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs within the distance, as fingerprints: (larger, smaller)."""
-    p, q = close(x, y, distance)
+def near(x: np.ndarray, y: np.ndarray | None, distance: int, reach: int | None = None, sx: np.ndarray | None = None, sy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs that close() finds, as fingerprints: (larger, smaller)."""
+    p, q = close(x, y, distance, reach, sx, sy)
     both = x if y is None else np.concatenate([x, y])
     if y is not None:
         q = q + len(x)
@@ -154,27 +174,47 @@ def near(x: np.ndarray, y: np.ndarray | None, distance: int) -> tuple[np.ndarray
     return values[far], values[label[far]]
 
 
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is null where there is nothing to compare."""
+SKETCHES = [f"s{k}" for k in range(SKETCH)]
+
+
+def _signed(text: pa.Array, more: list[str]) -> list[pa.Array]:
+    """The columns of fingerprints and sketches, null where there is nothing to compare."""
+    own, has = signatures(text, 1 + len(more))
+    return [pa.array(np.ascontiguousarray(own[:, k]).view(np.int64), mask=~has) for k in range(1 + len(more))]
+
+
+def _distinct(table: DataFrame, more: list[str]) -> DataFrame:
+    """The fingerprints; of equal ones the least sketch stands for all."""
+    if not more:
+        return table.select("fp").distinct()
+    return table.groupBy("fp").agg(F.min(F.struct(*more)).alias("s")).select("fp", "s.*")
+
+
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: list[str] = []) -> DataFrame:  # noqa: B006
+    """(doc_id, fp) of every row, and the words of its sketch under the names in more; null where there is nothing to
+    compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.steps(batch, "text"):
-                fps, has = fingerprints(part.column("text"))
-                yield pa.record_batch([part.column("doc_id"), pa.array(fps.view(np.int64), mask=~has)], names=["doc_id", "fp"])
+                yield pa.record_batch([part.column("doc_id"), *_signed(part.column("text"), more)], names=["doc_id", "fp", *more])
 
     kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, "doc_id bigint, fp bigint")
+    return kept.mapInArrow(run, ", ".join(["doc_id bigint, fp bigint", *(f"{c} bigint" for c in more)]))
 
 
-def edges(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints whose components are those of all pairs within the distance."""
-    if distance >= BLOCKS - 1:
-        raise ValueError(f"the grid finds all pairs for distances below {BLOCKS - 1}")
+def edges(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE, reach: int | None = None) -> DataFrame:
+    """Pairs (a, b) of distinct fingerprints whose components are those of all pairs within the distance, or given a reach
+    also of those within it whose sketches agree. fps has the fingerprints, then with a reach the words of their sketches."""
+    if distance >= BLOCKS - 1 if reach is None else reach < distance:
+        raise ValueError(f"the grid finds all pairs for distances below {BLOCKS - 1}, and the reach isn't below the distance")
+    blocks = BLOCKS if reach is None else max(BLOCKS, reach + 2)
+    n_pairs = blocks * (blocks - 1) // 2
+    more = [] if reach is None else SKETCHES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, n = np.unique(cells(batch.column(0).to_numpy().view(np.uint64)), return_counts=True)
+            cell, n = np.unique(cells(batch.column(0).to_numpy().view(np.uint64), blocks), return_counts=True)
             yield pa.record_batch([cell, n], names=["cell", "n"])
 
     many = fps.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
@@ -187,18 +227,19 @@ def edges(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFra
             all_fps = batch.column(0).to_numpy().view(np.uint64)
             for s in range(0, len(all_fps), 4096):
                 own = all_fps[s : s + 4096]
-                cell = cells(own).ravel()
-                fp = np.repeat(own, len(PAIRS))
+                cell = cells(own, blocks).ravel()
+                row = np.repeat(np.arange(s, s + len(own)), n_pairs)
+                fp = all_fps[row]
                 if not len(known):
                     return
                 at = np.minimum(np.searchsorted(known, cell), len(known) - 1)
                 hit = known[at] == cell
-                cell, fp, t = cell[hit], fp[hit], tiles[at[hit]]
+                cell, fp, row, t = cell[hit], fp[hit], row[hit], tiles[at[hit]]
                 mine = (mix(fp) % t.astype(np.uint64)).astype(np.int64)
                 other = common.ranges(np.zeros(len(t), np.int64), t)
-                cell, fp, mine = np.repeat(cell, t), np.repeat(fp, t), np.repeat(mine, t)
+                cell, fp, row, mine = np.repeat(cell, t), np.repeat(fp, t), np.repeat(row, t), np.repeat(mine, t)
                 lo, hi = np.minimum(mine, other), np.maximum(mine, other)
-                yield pa.record_batch([cell, (lo << 32) | hi, mine == hi, fp.view(np.int64)], names=["cell", "tile", "high", "fp"])
+                yield pa.record_batch([cell, (lo << 32) | hi, mine == hi, fp.view(np.int64), *(c.take(pa.array(row)) for c in batch.columns[1:])], names=["cell", "tile", "high", "fp", *more])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -207,14 +248,18 @@ def edges(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFra
             t = pa.Table.from_batches(rest)
             cell, tile_no, high, fp = (t.column(k).to_numpy() for k in range(4))
             fp = fp.view(np.uint64)
+            sketch = np.stack([t.column(k).to_numpy().view(np.uint64) for k in range(4, 4 + len(more))], 1) if more else None
             cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (tile_no[1:] != tile_no[:-1])) + 1
             found = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)], strict=True):
                 if b - a > 1:
+                    own, up = None if sketch is None else sketch[a:b], high[a:b]
                     if tile_no[a] >> 32 == tile_no[a] & 0xFFFFFFFF:
-                        found.append(near(fp[a:b], None, distance))
+                        found.append(near(fp[a:b], None, distance, reach, own))
+                    elif own is None:
+                        found.append(near(fp[a:b][up], fp[a:b][~up], distance))
                     else:
-                        found.append(near(fp[a:b][high[a:b]], fp[a:b][~high[a:b]], distance))
+                        found.append(near(fp[a:b][up], fp[a:b][~up], distance, reach, own[up], own[~up]))
             if found:
                 p, q = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1))
                 yield pa.record_batch([p, q], names=["a", "b"])
@@ -237,7 +282,7 @@ def edges(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFra
         if held:
             yield from done(held)
 
-    placed = fps.mapInArrow(spread, "cell bigint, tile bigint, high boolean, fp bigint")
+    placed = fps.select("fp", *more).mapInArrow(spread, ", ".join(["cell bigint, tile bigint, high boolean, fp bigint", *(f"{c} bigint" for c in more)]))
     placed = placed.repartition("cell", "tile").sortWithinPartitions("cell", "tile")
     return placed.mapInArrow(search, "a bigint, b bigint").distinct()
 
@@ -268,17 +313,18 @@ def components(pairs: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots_)
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, reach: int | None = None) -> DataFrame:
     """(doc_id, fp, root): the fingerprint of every row and the least fingerprint of its group; both null where a row has
     nothing to compare."""
     common.ready(docs.sparkSession)
-    table, _ = common.scratch(fingerprint_table(docs, id_col, text_col), "fps")
-    distinct, _ = common.scratch(table.filter("fp is not null").select("fp").distinct(), "distinct")
-    links = components(edges(distinct, distance))
+    more = [] if reach is None else SKETCHES
+    table, _ = common.scratch(fingerprint_table(docs, id_col, text_col, more), "fps")
+    distinct, _ = common.scratch(_distinct(table.filter("fp is not null"), more), "distinct")
+    links = components(edges(distinct, distance, reach=reach))
     return table.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, reach: int | None = None) -> DataFrame:
     """(doc_id, kept_doc_id, group_size): one row for each row that isn't the first of its group.
 
     The first is the one with the least id. Rows of null ids come last in a group and are returned with a null doc_id;
@@ -287,7 +333,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives an empty result."""
     from pyspark.sql import Window
 
-    t = groups(docs, id_col, text_col, distance).filter("fp is not null")
+    t = groups(docs, id_col, text_col, distance, reach).filter("fp is not null")
     whole = t.groupBy("root").agg(F.min("doc_id").alias("kept_doc_id"), F.count("*").alias("group_size")).filter("group_size > 1")
     # one of the rows with the group's least id stays: which one makes no difference to (doc_id, ...)
     rest = t.join(whole, "root")
@@ -295,7 +341,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rest.filter(~F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))).unionByName(first).select("doc_id", "kept_doc_id", "group_size")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, reach: int | None = None) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the least id, then of the least hash of its text; null ids
     come last. Of a row that is given twice one stays. Texts that are null, empty or without letters and digits all stay.
     All columns stay as they are, whatever their names."""
@@ -303,19 +349,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
 
     spark = docs.sparkSession
     common.ready(spark)
-    doc, txt = "__satchel_doc", "__satchel_txt"
+    doc, txt, more = "__satchel_doc", "__satchel_txt", [] if reach is None else SKETCHES
     keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))).withColumn(txt, F.xxhash64(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.steps(batch, "text"):
-                fps, has = fingerprints(part.column("text"))
-                yield pa.record_batch([part.column("doc"), part.column("txt"), pa.array(fps.view(np.int64), mask=~has)], names=["doc", "txt", "fp"])
+                yield pa.record_batch([part.column("doc"), part.column("txt"), *_signed(part.column("text"), more)], names=["doc", "txt", "fp", *more])
 
-    table = keyed.select(F.col(doc).alias("doc"), F.col(txt).alias("txt"), F.col(text_col).alias("text")).mapInArrow(run, "doc bigint, txt bigint, fp bigint")
+    table = keyed.select(F.col(doc).alias("doc"), F.col(txt).alias("txt"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(["doc bigint, txt bigint, fp bigint", *(f"{c} bigint" for c in more)]))
     table, table_path = common.scratch(table.filter("fp is not null"), "fps")
-    distinct, distinct_path = common.scratch(table.select("fp").distinct(), "distinct")
-    links = components(edges(distinct, distance))
+    distinct, distinct_path = common.scratch(_distinct(table, more), "distinct")
+    links = components(edges(distinct, distance, reach=reach))
     rooted = table.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("doc", "txt", F.coalesce("root", "fp").alias("root"))
     place = F.row_number().over(Window.partitionBy("root").orderBy("doc", "txt"))
     whole = rooted.groupBy("root").count().filter("count > 1")

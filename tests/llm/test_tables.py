@@ -178,6 +178,37 @@ def test_simhash(spark, hard):
     assert simhash.near_duplicates(empty(spark)).count() == simhash.keep_one(empty(spark)).count() == 0
 
 
+def test_simhash_finds_edited_copies(spark, tmp_path):
+    rng = random.Random(7)
+    rows = []
+    for k in range(150):  # 4 to 7 % of the words edited: 3-gram Jaccard of some 0.8 to 0.67
+        own = [f"w{rng.randrange(20000)}" for _ in range(300)]
+        edited = [f"x{rng.randrange(20000)}" if rng.random() < 0.04 + 0.03 * k / 150 else w for w in own]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(edited))]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in QUERIES["op9_simhash"](spark, str(tmp_path)).collect()}
+    assert got <= {(2 * k + 1, 2 * k, 2) for k in range(150)} and len(got) > 0.9 * 150
+    one = simhash.keep_one(docs(spark, rows), reach=simhash.REACH)
+    assert {r.doc_id for r in one.collect()} == {i for i, _ in rows} - {i for i, *_ in got}
+
+
+def test_simhash_reach_is_exact(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    own, has = simhash.signatures(pa.array([r.text for r in table.collect()], pa.string()), 1 + simhash.SKETCH)
+    own = own[has]
+    own = own[np.lexsort(own.T[::-1].view(np.int64))]  # of equal fingerprints the least sketch
+    own = own[np.append(True, own[1:, 0] != own[:-1, 0])]
+    gap = np.bitwise_count(own[:, None] ^ own[None]).astype(int)
+    a, b = np.nonzero((gap[..., 0] <= simhash.DISTANCE) | ((gap[..., 0] <= simhash.REACH) & (gap[..., 1:].sum(2) <= simhash.APART)))
+    want = simhash.roots(len(own), a, b)
+    fps = spark.createDataFrame([tuple(r) for r in own.view(np.int64).tolist()], "fp bigint, s0 bigint, s1 bigint")
+    for tile in (simhash.TILE, 8):
+        p, q = np.array([tuple(r) for r in simhash.edges(fps, tile=tile, reach=simhash.REACH).collect()]).T
+        at = {f: k for k, f in enumerate(own[:, 0].view(np.int64).tolist())}
+        got = simhash.roots(len(own), np.array([at[x] for x in p]), np.array([at[x] for x in q]))
+        assert (got == want).all() and (want != np.arange(len(own))).any()
+
+
 def test_chain_of_pairs_is_one_component(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90)], "a bigint, b bigint")
     assert {tuple(r) for r in simhash.components(pairs).collect()} == {(i, 0) for i in range(41)} | {(90, 90), (100, 90)}
