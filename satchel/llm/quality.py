@@ -3,7 +3,7 @@
 Each document has a vector of transformed statistics. For each language and source the minimum covariance determinant
 gives their location and scatter: from the coordinates' medians and median deviations, concentration steps take the half
 (three quarters here) of the documents nearest by Mahalanobis distance and estimate from these alone, then one reweighted
-step takes all within the 97.5 % quantile. Documents beyond a far quantile of the final distance are rejected.
+step takes all within the 97.5 % quantile. Documents beyond FAR of the final distance are rejected.
 
 A step is one aggregation of moments by group and by bin of the logarithm of the squared distance: the nearest three quarters
 are whole bins, so nothing but moments is moved, however large a group is. Groups under MIN_GROUP documents are pooled by
@@ -32,10 +32,11 @@ PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 #: Part of a group that a concentration step takes, steps, bins for each doubling of the squared distance.
 SHARE, STEPS, BINS = 0.75, 6, 16
 MIN_GROUP = 200
-#: Chance of rejection of a document whose statistics are normal.
-REJECT = 1e-6
-#: Differences below this count as none: it is added in quadrature to each coordinate's spread.
-FLOOR = 0.06
+#: Squared distance beyond which a document is rejected: ten spreads. Usual documents have far heavier tails than a normal
+#: distribution, of which hardly any quantile lies as far.
+FAR = 100.0
+#: Added in quadrature to each coordinate's spread, which is five times as large and more, so that no scatter is singular.
+FLOOR = 0.002
 #: Bins of one unit for medians.
 FINE = 512
 
@@ -73,8 +74,10 @@ def upper() -> np.ndarray:
 
 
 def statistics(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The vector of each text, and whether it has words. Shares are of whole texts, drawn a little towards a usual share so
-    that short texts aren't far from it by chance, and transformed by the arcsine of the root."""
+    """The vector of each text, and whether it has words. Shares are of whole texts, drawn towards a usual share so that short
+    texts aren't far from it by chance, and transformed by the arcsine of the root. Digits come in clumps (a telephone or card
+    number) and most texts have none, so a usual share of as many as a few clumps have is added: else the scatter of their
+    share would be that of the texts' lengths."""
     col = pc.fill_null(arr, "")
     rows = len(arr)
     chars = pc.utf8_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -96,9 +99,9 @@ def statistics(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = np.stack(
         [
             np.log((solid + 5 * 5.0) / (words + 5.0)),
-            share(symbol, solid, 0.03, 50),
-            share(digit, solid, 0.01, 50),
-            share(capital, letter, 0.04, 50),
+            share(symbol, solid, 0.03, 200),
+            share(digit, solid, 0.05, 1000),
+            share(capital, letter, 0.02, 200),
             np.log1p(distinct + 5) / np.log1p(words + 5),
         ],
         1,
@@ -229,7 +232,7 @@ def outliers(table: DataFrame, text_col: str, lang_col: str, source_col: str, ke
         model, path = after, next_path
     d = F.when(F.col(x[0]).isNotNull(), F.round(distance(prefix), 6))
     final = grouped(wide).join(model.withColumnRenamed("g", g), g, "left")
-    return final.select(*keep, *x, d.alias(prefix + "distance"), F.coalesce(d <= chi2_quantile(1 - REJECT, P), F.lit(False)).alias(prefix + "keep"))
+    return final.select(*keep, *x, d.alias(prefix + "distance"), F.coalesce(d <= FAR, F.lit(False)).alias(prefix + "keep"))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:

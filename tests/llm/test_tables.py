@@ -142,6 +142,14 @@ def test_quality(spark, hard):
     assert quality.assess(empty(spark)).count() == quality.keep_usual(empty(spark)).count() == 0
 
 
+def test_quality_of_labelled_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    keep = {r.doc_id: r.keep for r in QUERIES["op8_quality_rules"](spark, folder).collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    bad, good = ([keep[r.doc_id] for r in labels if r.quality == q and r.doc_id in keep] for q in (0, 1))
+    assert len(bad) > 30 and np.mean(bad) < 0.1 and np.mean(good) > 0.98
+
+
 def plain_groups(rows, distance=simhash.DISTANCE):
     fps, has = simhash.fingerprints(pa.array([t for _, t in rows], pa.string()))
     root = list(range(len(rows)))
