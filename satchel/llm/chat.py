@@ -88,7 +88,7 @@ class Visitor:
 
 def parts_of(content: str) -> list:
     """The parts of a turn: those of a JSON list of which all have a type, or the content as one text."""
-    if content[:64].lstrip()[:1] == "[":
+    if content.lstrip()[:1] == "[":
         try:
             found = json.loads(content)
         except (ValueError, RecursionError):

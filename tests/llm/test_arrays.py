@@ -169,6 +169,13 @@ def test_chat_parts():
     assert chat.flatten('[{"type":"image","url":7,"width":-1,"height":true}]').attachments == [(0, "image", None, chat.UNKNOWN)]
 
 
+def test_chat_parts_behind_many_blanks():
+    parts = '[{"type":"image","url":"u","width":28,"height":28}]'
+    for blanks in (" " * 63, " " * 64, "\n" * 500):
+        assert chat.flatten(blanks + parts).attachments == [(0, "image", "u", 1)]
+    assert chat.flatten(" " * 100 + "plain").out == [" " * 100 + "plain"]
+
+
 def test_chi_square():
     assert quality.chi2_quantile(0.975, 5) == pytest.approx(12.8325, abs=1e-3)
     assert quality.chi2_cdf(3.0, 2) == pytest.approx(1 - np.exp(-1.5))
