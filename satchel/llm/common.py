@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
-#: Bytes of text that one vectorised step takes; its arrays need some 50 times as much memory.
+#: Bytes of text that one vectorised step takes; its arrays need some 50 times as much memory. Longer texts are taken in windows.
 STEP_BYTES = 1 << 20
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package, and keep Arrow batches small beside long texts."""
+    """Let Python workers import this package, and bound Arrow batches by bytes and rows (settings of the session)."""
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
@@ -28,6 +29,7 @@ def ready(spark: SparkSession) -> None:
     env.setdefault("OPENBLAS_NUM_THREADS", "1")
     env.setdefault("OMP_NUM_THREADS", "1")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -48,6 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     return set_dir.rstrip("/")
 
 
+BREAK = re.compile(r"[\W_]")
 _LEFT: list[tuple[SparkSession, str]] = []
 
 
@@ -76,6 +79,19 @@ def _drop_rest() -> None:
             return
 
 
+def whole(docs: DataFrame, name: str = "row"):
+    """A row of docs as one column, whatever the names of its columns; select(name + ".*") gives docs again."""
+    return F.struct("*").alias(name)
+
+
+def integer(docs: DataFrame, name: str) -> F.Column:
+    """An id column as bigint. Ids of other than integer types are refused here, not somewhere in a task."""
+    kind = docs.select(F.col(name)).schema[0].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "void"):
+        raise ValueError(f"{name} must be of an integer type, not {kind}")
+    return F.col(name).cast("bigint")
+
+
 def text_key(text) -> F.Column:
     """A 128-bit key of a text, for grouping equal ones."""
     return F.unhex(F.md5(text))
@@ -101,7 +117,10 @@ def flat_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def steps(batch: pa.RecordBatch, text: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about limit bytes of text each; a longer text comes alone."""
-    lens = lens_of(batch.column(text))
+    return steps_of(batch, lens_of(batch.column(text)), limit)
+
+
+def steps_of(batch: pa.RecordBatch, lens: np.ndarray, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     at = 0
     while at < len(lens):
         total, end = lens[at], at + 1
@@ -112,6 +131,17 @@ def steps(batch: pa.RecordBatch, text: str, limit: int = STEP_BYTES) -> Iterator
         at = end
 
 
+def windows(text: str, limit: int = STEP_BYTES // 4, overlap: int = 0) -> Iterator[str]:
+    """A long text in parts of about limit characters. A part ends where the next character is neither letter nor digit (a
+    longer run of these stays whole), and each but the first begins with the last `overlap` characters before it."""
+    at = 0
+    while at < len(text):
+        m = BREAK.search(text, min(at + limit, len(text)))
+        end = m.start() if m else len(text)
+        yield text[max(0, at - overlap) : end]
+        at = end
+
+
 def ragged(values: pa.Array, counts: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
     """A list column from flat values and the rows' counts."""
     offsets = np.zeros(len(counts) + 1, np.int32)

@@ -2,7 +2,7 @@
 
 The text is cut into pre-tokens with array operations on code points (the pattern that the public rank files name), each
 distinct pre-token is encoded once by the given encoder, and a bounded hash table in each worker keeps what it returned.
-Pre-tokens are told apart by a 64-bit hash of their characters.
+A pre-token is looked up by a 64-bit hash, and what is found counts only if all its characters are the same.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ TOP = 0x110000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Entries of a worker's table; it starts anew when it is half full.
 SLOTS = 1 << 21
+#: Characters of pre-tokens that a worker keeps before it starts anew.
+KEPT = 1 << 25
 #: A cut before a lone space between two other characters never divides a pre-token.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -86,6 +88,8 @@ def cut(cps: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of code points. It is quick, but there are patterns that collide: whoever needs certainty compares
+    the characters."""
     up, down = powers(len(cps) + 1)
     sums = np.zeros(len(cps) + 1, np.uint64)
     np.cumsum(tables()[1][cps] * up[: len(cps)], out=sums[1:])
@@ -108,6 +112,8 @@ class Encoder:
         self.keys, self.where = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
         self.off, self.num, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+        # the pre-tokens themselves, as code points
+        self.chars, self.first, self.size, self.held = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Where each hash is kept, -1 if it isn't."""
@@ -124,26 +130,51 @@ class Encoder:
             left = left[~hit & (got != 0)]
         return out
 
-    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
-        """Keep new, distinct hashes."""
-        k, num = len(h), np.fromiter(map(len, ids), np.int32, len(ids))
+    def keep(self, text: str, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> int:
+        """Encode pre-tokens of text and keep them, not yet to be found by a hash; returns the number of the first."""
+        ids = self.pieces([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        k, num, size = len(ids), np.fromiter(map(len, ids), np.int32, len(ids)), ends - starts
         flat = np.fromiter((x for y in ids for x in y), np.int32, int(num.sum()))
-        while self.n + k > len(self.off):
-            self.off, self.num = np.concatenate([self.off, np.zeros_like(self.off)]), np.concatenate([self.num, np.zeros_like(self.num)])
+        n, total = self.n, int(size.sum())
+        while n + k > len(self.off):
+            self.off, self.num, self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.off, self.num, self.first, self.size))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.off[self.n : self.n + k] = self.used + np.cumsum(num) - num
-        self.num[self.n : self.n + k] = num
+        while self.held + total > len(self.chars):
+            self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
+        self.off[n : n + k] = self.used + np.cumsum(num) - num
+        self.num[n : n + k] = num
+        self.first[n : n + k] = self.held + np.cumsum(size) - size
+        self.size[n : n + k] = size
         self.flat[self.used : self.used + len(flat)] = flat
-        at, left = (h & np.uint64(self.slots - 1)).astype(np.int64), np.arange(k)
+        self.chars[self.held : self.held + total] = cps[ranges(starts, size)]
+        self.n, self.used, self.held = n + k, self.used + len(flat), self.held + total
+        return n
+
+    def index(self, h: np.ndarray, where: int) -> None:
+        """New, distinct hashes, of what is kept from where on."""
+        at, left = (h & np.uint64(self.slots - 1)).astype(np.int64), np.arange(len(h))
         while len(left):
             free = self.keys[at[left]] == 0
             self.keys[at[left[free]]] = h[left[free]]
             mine = free & (self.keys[at[left]] == h[left])
-            self.where[at[left[mine]]] = self.n + left[mine]
+            self.where[at[left[mine]]] = where + left[mine]
             left = left[~mine]
             at[left] = (at[left] + 1) & (self.slots - 1)
-        self.n, self.used = self.n + k, self.used + len(flat)
+
+    def others(self, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which pre-tokens (they make up cps) aren't those kept at the numbers found."""
+        size = ends - starts
+        bad = self.size[at] != size
+        if bad.any():
+            ok = np.flatnonzero(~bad)
+            mine, kept = ranges(starts[ok], size[ok]), ranges(self.first[at[ok]], size[ok])
+            differs = np.flatnonzero(cps[mine] != self.chars[kept])
+            bad[ok[np.searchsorted(np.cumsum(size[ok]), differs, "right")]] = True
+        else:
+            differs = np.flatnonzero(cps != self.chars[ranges(self.first[at], size)])
+            bad[np.searchsorted(ends, differs, "right")] = True
+        return np.flatnonzero(bad)
 
     def step(self, text: str, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that follow one another in text, with chars characters each, and how many of them each has."""
@@ -155,13 +186,16 @@ class Encoder:
         at = self.find(h)
         new = np.flatnonzero(at < 0)
         if len(new):
-            if self.n + len(new) > self.slots // 2:
+            if self.n + len(new) > self.slots // 2 or self.held > KEPT:
                 self.clear()
                 new = np.arange(len(h))
             fresh, i = np.unique(h[new], return_index=True)
             i = new[i]
-            self.add(fresh, self.pieces([text[a:b] for a, b in zip(starts[i].tolist(), ends[i].tolist(), strict=True)]))
+            self.index(fresh, self.keep(text, cps, starts[i], ends[i]))
             at[new] = self.find(h[new])
+        bad = self.others(cps, starts, ends, at)
+        if len(bad):  # another pre-token has their hash
+            at[bad] = self.keep(text, cps, starts[bad], ends[bad]) + np.arange(len(bad))
         num = self.num[at].astype(np.int64)
         ids = self.flat[ranges(self.off[at].astype(np.int64), num)]
         total = np.zeros(len(num) + 1, np.int64)

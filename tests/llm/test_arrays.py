@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from satchel.llm import bpe, chat, langid, packing, pretok, quality, rans, simhash, suffix_dedup, token_count, topk
+from satchel.llm import bpe, chat, common, langid, packing, pretok, quality, rans, simhash, suffix_dedup, token_count, topk, words
 from satchel.llm.suffix_array import common_prefixes, suffix_array
 
 TEXTS = ["", " ", "Hello  world's 12 test\n\n  x", "don't  we'll 're \t\tz", "naïve Übung — 東京 🙂🙂", "a" * 3000, "<|endoftext|> x", "   q '", "x\n \n y"]
@@ -230,3 +230,80 @@ def test_ftrl_is_sparse_and_separates():
 def test_cut_out():
     assert suffix_dedup.cut_out(b"a b  c d", [(1, 3)]) == (b"a d", True)
     assert suffix_dedup.cut_out(b"a b", [(0, 2)]) == (b"", False)
+
+
+def thue_morse():
+    """Two words of 2,048 characters of which sums of powers modulo 2**64 are the same."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_sums_of_powers_confuse():
+    a, b = thue_morse()
+    cps = np.frombuffer((a + b).encode("utf-32-le"), np.uint32)
+    at = np.array([0, 2048])
+    assert len(set(pretok.hashes(cps, at, at + 2048).tolist())) == 1
+    path = pretok.default_path()
+    plain = pretok.tiktoken_of(path).encode_ordinary
+    for make in (lambda: pretok.Encoder(pretok.rank_encoder(path).pieces, 1 << 12), lambda: pretok.Encoder(bpe.encoder(path).pieces, 1 << 12)):
+        for texts in ([a, b], [b, a], [f"{a} {b} {a}"]):
+            encoder = make()
+            for _ in range(2):
+                ids, n = encoder.encode(pa.array(texts))
+                assert ids.tolist() == [i for t in texts for i in plain(t)]
+    raw = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
+    starts, ends, _ = words.bounds(raw, np.array([0, len(raw)]))
+    h, ids = words.hash_words(raw, starts, ends), words.word_ids(raw, starts, ends)
+    assert h[0] == h[2] != h[1] and ids.tolist() == [0, 1, 0]
+    # the same pattern of words: the second hash tells the runs apart
+    run = np.array([3, 5], np.uint64)[[ord(c) - ord("a") for c in a + b]]
+    assert len(set(words.prime_sums(run, np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abé \n"), max_size=90), max_size=4))
+def test_word_hashes_follow_the_bytes(texts):
+    raw, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.append(0, np.cumsum([len(t.encode()) for t in texts])).astype(np.int64)
+    starts, ends, firsts = words.bounds(raw, offsets)
+    own = [raw[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+    assert own == [w.encode() for t in texts for w in t.split()] and np.diff(firsts).tolist() == [len(t.split()) for t in texts]
+    h, ids = words.hash_words(raw, starts, ends), words.word_ids(raw, starts, ends)
+    for i in range(len(own)):
+        for j in range(i):
+            assert (own[i] == own[j]) == (h[i] == h[j]) == (ids[i] == ids[j])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab  \n"), max_size=300), st.integers(1, 40), st.integers(0, 6))
+def test_windows_hold_all_words(text, limit, overlap):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    every = text.split()
+    total = 0
+    for first, own, starts, ends in words.windows(raw, limit, overlap):
+        assert [raw[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)] == every[first : first + len(starts)]
+        assert first == total
+        total += own
+    assert total == len(every)
+    assert "".join(common.windows(text, limit)) == text
+    parts = list(common.windows(text, limit))
+    assert not any(a[-1].isalpha() and b[0].isalpha() for a, b in zip(parts, parts[1:], strict=False))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2), st.integers(0, 4), st.integers(0, 1)), max_size=40), st.lists(st.integers(0, 40), max_size=6))
+def test_pieces_meet_in_whatever_batches(rows, cuts):
+    rows = sorted((m, c, 7, d, 0, p, -2 if c == 2 else 2) for m, c, d, p in rows)
+    batch = pa.RecordBatch.from_pylist([dict(zip(("mini", "content", "more", "doc", "txt", "pos", "n"), r, strict=True)) for r in rows], pa.schema([(k, pa.int64()) for k in ("mini", "content", "more", "doc", "txt", "pos", "n")]))
+    edges = sorted({0, len(rows), *(c for c in cuts if c < len(rows))})
+    got = [tuple(r.values()) for part in suffix_dedup.meet(batch.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False)) for r in part.to_pylist()]
+    want, kinds = set(), {}
+    for r in rows:
+        kinds.setdefault(r[0], {}).setdefault(r[1], []).append(r)
+    for of in kinds.values():
+        for same in of.values():
+            want |= {(None, *r[3:6], 2, same[0][3]) for r in same if r[3:6] != same[0][3:6]}
+            if len(of) > 1 or same[0][-1] < 0:
+                want.add((same[0][0], *same[0][3:6], 2, None))
+    assert set(got) == want and len(got) == len(want)

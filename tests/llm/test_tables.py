@@ -7,6 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from satchel.llm import bpe, chat, langid, packing, pretok, quality, rans, simhash, suffix_dedup, token_count, topk
@@ -237,8 +238,8 @@ def plain_spans(rows, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [2, 4096])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize(("hot", "crowd"), [(suffix_dedup.HOT, suffix_dedup.CROWD), (suffix_dedup.HOT, 2), (3, suffix_dedup.CROWD)])
+def test_suffix_dedup(spark, hot, crowd):
     rng = random.Random(5)
     shared = [words(rng, rng.randrange(20, 140)) for _ in range(12)]
     rows = []
@@ -252,7 +253,7 @@ def test_suffix_dedup(spark, hot):
             text = "  ".join(w)
         rows.append((i, text))
     rows.append((120, "again and again " * 80))
-    t = suffix_dedup.spans_table(docs(spark, rows), words=25, gram=8, hot=hot)
+    t = suffix_dedup.spans_table(docs(spark, rows), words=25, gram=8, hot=hot, crowd=crowd)
     got = {k: [False] * len(x.split()) for k, x in rows}
     for r in t.collect():
         assert r.stop - r.start >= 25 and r.first_doc <= r.doc
@@ -300,3 +301,39 @@ def test_pipeline(spark):
         table = spark.createDataFrame(after, docs_.schema)
     want = sorted(str(tuple(r)) for r in packing.pack(table).collect())
     assert want == sorted(str(tuple(r)) for r in corpus_pipeline.run(spark, DATA).collect())
+
+
+def test_words_of_one_sum_of_powers_are_no_repeat(spark):
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rng = random.Random(9)
+    w = [f"v{rng.randrange(900)}" for _ in range(70)]
+    other = [*w[:35], b, *w[36:]]
+    w[35] = a
+    assert suffix_dedup.repeated_passages(docs(spark, [(1, " ".join(w)), (2, " ".join(other))])).count() == 0
+    t = docs(spark, [(1, a), (2, b), (3, f"{b} {a}")])
+    plain = pretok.tiktoken_of(pretok.default_path()).encode_ordinary
+    assert {r.doc_id: r.token_ids for r in bpe.encode(t.coalesce(1)).collect()} == {1: plain(a), 2: plain(b), 3: plain(f"{b} {a}")}
+
+
+def test_passage_in_very_many_documents(spark):
+    rng = random.Random(10)
+    shared = words(rng, 60)
+    table = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.concat_ws(" ", *(F.concat(F.lit(f"x{k}"), F.xxhash64("id", F.lit(k)).cast("string")) for k in range(8))), F.lit(" " + shared + " "), F.xxhash64("id").cast("string")).alias("text"))
+    got = suffix_dedup.repeated_passages(table).agg(F.count("*"), F.min("start_word"), F.max("start_word"), F.min("end_word"), F.max("end_word"), F.min(F.col("doc_id") - F.col("first_doc_id")), F.countDistinct("doc_id"), F.min("doc_id")).first()
+    assert tuple(got) == (99_999, 8, 8, 68, 68, 1, 99_999, 1)
+
+
+def test_passages_in_a_very_long_text(spark):
+    rng = random.Random(11)
+    long = words(rng, 900_000, 10**7)  # some 7 MB: several windows
+    w = long.split()
+    at = (0, 100_000, 523_456, 899_900)
+    rows = [(1, long), *((2 + k, f"before{k} " + " ".join(w[a : a + 90]) + " after") for k, a in enumerate(at))]
+    got = sorted(map(tuple, suffix_dedup.repeated_passages(docs(spark, rows)).collect()))
+    assert got == [(2 + k, 1, 91, 1) for k in range(4)]
+    back = [(9, long), *rows[1:]]  # the long one comes last
+    assert sorted(map(tuple, suffix_dedup.repeated_passages(docs(spark, back)).collect())) == [(9, a, a + 90, 2 + k) for k, a in enumerate(at)]
+    left = {r.doc_id: r.text for r in suffix_dedup.without_repeats(docs(spark, back)).select("doc_id", "text").collect()}
+    assert len(left[9].split()) == 900_000 - 4 * 90
