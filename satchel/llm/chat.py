@@ -4,7 +4,8 @@ A turn's content is plain text, or a JSON list of parts, each an object with a "
 "height"), audio ("url", "seconds") or document ("url", "pages"). A visitor flattens the parts in their order: text stays, an
 attachment becomes a placeholder <|image:N|>, numbered through the turn, its reference is recorded, and the number of
 tokens that a model puts in its place is added to those of the text. Turns are then joined to conversations under headers
-<|role|>. "<|" in a text becomes "<||", so no text can pass for a header or a placeholder.
+<|role|>. In a text, bars that follow a "<" become one more, so "<|" is "<||"; text parts that follow one another are joined
+before. So no text, nor several together, can pass for a header or a placeholder. Nor can a role: its "<|" are treated alike, ":" is doubled and "end" is "end:".
 
 The turns are visited where they lie; only then are they brought together by conversation.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -33,12 +35,16 @@ ATTACHMENTS = f"array<{ATTACHMENT}>"
 ARROW_ATTACHMENT = pa.struct([("number", pa.int32()), ("kind", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())])
 
 
+BARS = re.compile(r"<\|+")
+
+
 def escape(text: str) -> str:
-    return text.replace("<|", "<||")
+    """Each run of bars after a "<" gets one bar more."""
+    return BARS.sub(lambda m: m[0] + "|", text)
 
 
 def unescape(text: str) -> str:
-    return text.replace("<||", "<|")
+    return re.sub(r"<\|(\|+)", r"<\1", text)
 
 
 def _number(part: dict, key: str) -> float | None:
@@ -51,6 +57,10 @@ class Visitor:
     """Flattens the parts of one turn."""
 
     out: list[str] = field(default_factory=list)
+    #: The text parts since the last attachment, as they were given.
+    said: list[str] = field(default_factory=list)
+    #: All texts between attachments.
+    texts: list[str] = field(default_factory=list)
     attachments: list[tuple[int, str, str | None, int]] = field(default_factory=list)
 
     def visit(self, part: object) -> None:
@@ -59,13 +69,20 @@ class Visitor:
         if how:
             how(part)
         elif isinstance(part, str):
-            self.out.append(escape(part))
+            self.said.append(part)
         else:  # what has no known type stays readable
-            self.out.append(escape(json.dumps(part, ensure_ascii=False, sort_keys=True)))
+            self.said.append(json.dumps(part, ensure_ascii=False, sort_keys=True))
 
     def text(self, part: dict) -> None:
         x = part.get("text")
-        self.out.append(escape(x if isinstance(x, str) else ""))
+        self.said.append(x if isinstance(x, str) else "")
+
+    def end(self) -> None:
+        """The text parts so far become one text: only so is a bar seen whose "<" is in the part before."""
+        if text := "".join(self.said):
+            self.texts.append(text)
+            self.out.append(escape(text))
+        self.said = []
 
     def image(self, part: dict) -> None:
         w, h = _number(part, "width"), _number(part, "height")
@@ -80,6 +97,7 @@ class Visitor:
         self.attach("document", part, None if n is None else math.ceil(n) * PAGE)
 
     def attach(self, kind: str, part: dict, tokens: int | None) -> None:
+        self.end()
         ref = part.get("url")
         n = len(self.attachments)
         self.attachments.append((n, kind, ref if isinstance(ref, str) else None, UNKNOWN if tokens is None else tokens))
@@ -102,11 +120,13 @@ def flatten(content: str) -> Visitor:
     v = Visitor()
     for part in parts_of(content):
         v.visit(part)
+    v.end()
     return v
 
 
 def visit_turns(turns: DataFrame, path: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, turn, role, content, attachments, n_tokens) of every turn; n_tokens counts attachments as expanded."""
+    """(conv_id, turn, role, content, attachments, n_tokens) of every turn; n_tokens counts attachments as expanded, and the
+    text between two of them as one text."""
     common.ready(turns.sparkSession)
     path = path or default_path()
 
@@ -115,10 +135,8 @@ def visit_turns(turns: DataFrame, path: str | None = None, conv_col: str = "conv
         for batch in batches:
             for part in common.steps(batch, "text"):
                 seen = [flatten(t or "") for t in part.column("text").to_pylist()]
-                spoken = [[x for x in v.out if not x.startswith("<|") or x.startswith("<||")] for v in seen]
-                pieces = pa.array([unescape(x) for own in spoken for x in own], pa.string())
-                _, n = encoder.encode(pieces)
-                of = np.repeat(np.arange(len(seen)), [len(own) for own in spoken])
+                _, n = encoder.encode(pa.array([x for v in seen for x in v.texts], pa.string()))
+                of = np.repeat(np.arange(len(seen)), [len(v.texts) for v in seen])
                 tokens = np.bincount(of, n, len(seen)).astype(np.int64) + HEADER
                 tokens += np.array([sum(a[3] for a in v.attachments) for v in seen], np.int64)
                 held = pa.array([[dict(zip(("number", "kind", "ref", "tokens"), a, strict=True)) for a in v.attachments] for v in seen], pa.list_(ARROW_ATTACHMENT))
@@ -137,7 +155,8 @@ def format_chats(turns: DataFrame, path: str | None = None, conv_col: str = "con
     A JSON list of which any part has no type is plain text; parts of an unknown type become text. Other columns, whatever
     their names, are ignored. An empty table gives an empty result."""
     flat = visit_turns(turns, path, conv_col, turn_col, role_col, text_col)
-    role = F.coalesce(F.replace("role", F.lit("<|"), F.lit("<||")), F.lit("unknown"))
+    own = F.regexp_replace(F.replace("role", F.lit(":"), F.lit("::")), r"<\|+", "$0|")
+    role = F.when(F.col("role") == "end", "end:").otherwise(F.coalesce(own, F.lit("unknown")))
     rows = flat.select("conv_id", F.struct("turn", role.alias("role"), "content", "attachments", "n_tokens").alias("t"))
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     shown = F.transform("ts", lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["content"], F.lit("<|end|>\n")))

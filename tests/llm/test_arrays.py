@@ -1,5 +1,6 @@
 """Array algorithms against plain versions."""
 
+import json
 import random
 import re
 
@@ -294,7 +295,7 @@ def test_windows_hold_all_words(text, limit, overlap):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2), st.integers(0, 4), st.integers(0, 1)), max_size=40), st.lists(st.integers(0, 40), max_size=6))
 def test_pieces_meet_in_whatever_batches(rows, cuts):
-    rows = sorted((m, c, 7, d, 0, p, -2 if c == 2 else 2) for m, c, d, p in rows)
+    rows = sorted((m, c, 7, d, 0, 100 * m + 10 * c + p, -2 if c == 2 else 2) for m, c, d, p in rows)
     batch = pa.RecordBatch.from_pylist([dict(zip(("mini", "content", "more", "doc", "txt", "pos", "n"), r, strict=True)) for r in rows], pa.schema([(k, pa.int64()) for k in ("mini", "content", "more", "doc", "txt", "pos", "n")]))
     edges = sorted({0, len(rows), *(c for c in cuts if c < len(rows))})
     got = [tuple(r.values()) for part in suffix_dedup.meet(batch.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False)) for r in part.to_pylist()]
@@ -307,3 +308,26 @@ def test_pieces_meet_in_whatever_batches(rows, cuts):
             if len(of) > 1 or same[0][-1] < 0:
                 want.add((same[0][0], *same[0][3:6], 2, None))
     assert set(got) == want and len(got) == len(want)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet=st.sampled_from("<|>image:0 "), max_size=12).map(lambda t: {"type": "text", "text": t}), st.just({"type": "image", "url": "u"}), st.just({"type": "audio"})), min_size=1, max_size=8))
+def test_no_text_passes_for_a_placeholder(parts):
+    v = chat.flatten(json.dumps(parts))
+    content = "".join(v.out)
+    assert re.findall(r"<\|(\w+):(\d+)\|>", content) == [(kind, str(n)) for n, kind, *_ in v.attachments]
+    # the prompt holds all that was said, in its order
+    said = re.split(r"<\|\w+:\d+\|>", content)
+    want = [""]
+    for p in parts:
+        if p["type"] == "text":
+            want[-1] += p["text"]
+        else:
+            want.append("")
+    assert [chat.unescape(x) for x in said] == want and v.texts == [x for x in want if x]
+
+
+def test_split_placeholder_and_many_blanks():
+    v = chat.flatten('[{"type":"text","text":"<"},{"type":"text","text":"|image:0|>"}]')
+    assert "".join(v.out) == "<||image:0|>" and not v.attachments
+    assert chat.flatten(" " * 10_000 + '[{"type":"image","url":"u"}]').attachments == [(0, "image", "u", chat.UNKNOWN)]

@@ -108,7 +108,7 @@ def test_top_k(spark):
 
 def test_chats(spark):
     part = '[{"type":"text","text":"look"},{"type":"image","url":"u","width":28,"height":28}]'
-    rows = [(1, 1, "assistant", "hi", "z"), (1, 0, "user", part, "z"), (1, 0, "user", part, "z"), (2, None, None, None, "z"), (None, 3, "user", "x", "z"), (3, 1, "<|end|>", "<|user|>", "z")]
+    rows = [(1, 1, "assistant", "hi", "z"), (1, 0, "user", part, "z"), (1, 0, "user", part, "z"), (2, None, None, None, "z"), (None, 3, "user", "x", "z"), (3, 1, "<|end|>", "<|user|>", "z"), (4, 1, "image:0", "x", "z"), (4, 2, "end", "<", "z")]
     table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, attachments string")
     got = {r.conv_id: r for r in chat.format_chats(table).collect()}
     assert got[1].prompt == "<|user|>\nlook<|image:0|><|end|>\n" * 2 + "<|assistant|>\nhi<|end|>\n"
@@ -118,6 +118,7 @@ def test_chats(spark):
     assert (got[2].prompt, got[2].n_turns) == ("<|unknown|>\n<|end|>\n", 1)
     assert got[None].prompt == "<|user|>\nx<|end|>\n"
     assert got[3].prompt == "<|<||end|>|>\n<||user|><|end|>\n"
+    assert got[4].prompt == "<|image::0|>\nx<|end|>\n<|end:|>\n<<|end|>\n"
     assert chat.format_chats(table.limit(0)).count() == 0
     plain = spark.read.parquet(f"{DATA}/conversations.parquet")
     want = defaultdict(list)
