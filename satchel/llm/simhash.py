@@ -1,19 +1,20 @@
 """Near duplicates by SimHash.
 
-A document's fingerprint is the 64-bit SimHash of its distinct words (runs of letters and digits, in lower case). Its
-segment-popcount embedding holds the number of ones in each two-bit segment; the Manhattan distance of two embeddings never
-exceeds the Hamming distance of the fingerprints. The segments make up nine blocks. Fingerprints within Hamming distance 7
-have embeddings within Manhattan distance 7, so at least two of the nine blocks agree in all their counts: the grid has one
-cell for each pair of blocks and their counts, and every pair in range meets in a cell. There the Manhattan bound drops most
-pairs and the Hamming distance decides exactly. Groups are the connected components of the pairs found.
-
-Copies with scattered edits lie a little further apart, where by chance unlike texts do too, the more the larger the table.
-With a reach (op9 has REACH), fingerprints beyond the distance but within the reach are candidates, found in a grid of
-reach + 2 blocks; they count as copies if in a sketch, SKETCH more words of SimHash from other hashes of the same words, at
-most APART bits differ. The sketch travels with the fingerprint, so a candidate is decided where it is found.
-
-Cells are split into square tiles where they are large (a cell's size is counted; there are at most 36 * 3**8 cells, or
-66 * 3**6 for the reach, whatever the data), equal fingerprints are joined before the search, and each tile returns a spanning forest of its pairs, so neither
+A document's fingerprint has WORDS words of 64 bits, each a SimHash of its distinct words (runs of letters and digits, in lower
+case) by other hashes. Two documents are copies if some word of their fingerprints lies within Hamming distance DISTANCE and
+all together within TOTAL: one word alone is close by chance in a large table, all of them aren't. Groups are the connected
+components of these pairs.
+
+A word's segment-popcount embedding holds the number of ones in each two-bit segment; the Manhattan distance of two
+embeddings never exceeds the Hamming distance of the words. It is kept with each count in unary, two bits for 0, 1 or 2, so that
+the Manhattan distance is the number of bits in which two embeddings differ. The range join is over a grid: the segments make up
+DISTANCE + s blocks, and words in range agree in all counts of at least s of them, so the grid has a cell for each s blocks
+and their counts, and every pair in range meets in a cell. There the Manhattan distance drops most pairs, then the Hamming
+distance of the word and of the whole fingerprint decides exactly.
+
+The grid follows the table: s is chosen from the number of distinct fingerprints (fineness), by what a row of a cell costs and how
+many pairs meet in cells, so the part of all pairs that meets falls as the table grows. Cells that are still large are split into
+square tiles, equal fingerprints are joined before the search, and each tile returns a spanning forest of its pairs, so neither
 the tasks nor what they return grow with the square of a group.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +35,13 @@ from satchel.llm import common
 from satchel.llm.pretok import LETTER, NUMBER, TOP, hashes, tables
 from satchel.llm.words import mix
 
-BITS, SEGMENT, DISTANCE, BLOCKS = 64, 2, 7, 9
-#: Distance up to which the sketch decides, 64-bit words of a sketch, bits of it that may differ.
-REACH, SKETCH, APART = 10, 2, 20
-#: Rows of a tile's side.
-TILE = 1 << 15
+BITS, SEGMENT, DISTANCE = 64, 2, 7
+#: Words of a fingerprint, bits of it all that may differ.
+WORDS, TOTAL = 4, 40
+#: Rows of a tile's side; a row of a cell costs as much as so many pairs.
+TILE, ROW = 1 << 15, 800
+LAST = (1 << 63) - 1
+WORD = [f"w{k}" for k in range(WORDS)]
 
 
 @lru_cache(1)
@@ -52,23 +56,17 @@ def lower() -> np.ndarray:
     return out
 
 
-def fingerprints(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint of each text and whether it has one (a text without letters and digits has none)."""
-    out, has = signatures(arr, 1)
-    return out[:, 0], has
-
-
-def signatures(arr: pa.Array, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprint of each text and count - 1 words of its sketch, and whether it has one."""
-    col = pc.fill_null(arr, "")
+def word_keys(col: pa.Array) -> np.ndarray:
+    """The distinct words of each text, as its number and 44 bits of a word's hash, sorted. Long texts are taken in windows."""
     chars = pc.utf8_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(col) == 1 and chars[0] > common.STEP_BYTES:
+        return np.unique(np.concatenate([word_keys(pa.array([w])) for w in common.windows(col[0].as_py())]))
     cps = lower()[np.frombuffer("".join(col.to_pylist()).encode("utf-32-le"), np.uint32)]
-    n, rows = len(cps), len(arr)
-    out, has = np.zeros((rows, count), np.uint64), np.zeros(rows, bool)
+    n = len(cps)
     if not n:
-        return out, has
+        return np.zeros(0, np.uint64)
     first = np.zeros(n + 1, bool)
-    offsets = np.zeros(rows + 1, np.int64)
+    offsets = np.zeros(len(col) + 1, np.int64)
     np.cumsum(chars, out=offsets[1:])
     first[offsets] = True
     word = cps != 0
@@ -76,11 +74,17 @@ def signatures(arr: pa.Array, count: int) -> tuple[np.ndarray, np.ndarray]:
     start[1:] &= ~word[:-1] | first[1:n]
     end[:-1] &= ~word[1:] | first[1:n]
     starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    if not len(starts):
-        return out, has
     doc = np.searchsorted(offsets, starts, "right") - 1
     keys = np.sort((doc.astype(np.uint64) << np.uint64(44)) | (hashes(cps, starts, ends) >> np.uint64(20)))
-    keys = keys[np.append(True, keys[1:] != keys[:-1])]
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def signatures(arr: pa.Array, count: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint of each text and whether it has one (a text without letters and digits has none)."""
+    keys = word_keys(pc.fill_null(arr, ""))
+    out, has = np.zeros((len(arr), count), np.uint64), np.zeros(len(arr), bool)
+    if not len(keys):
+        return out, has
     doc = (keys >> np.uint64(44)).astype(np.int64)
     keys &= np.uint64((1 << 44) - 1)
     bits = np.stack([mix(keys | np.uint64(k << 44)) for k in range(count)], 1).view(np.uint8)
@@ -94,19 +98,40 @@ def signatures(arr: pa.Array, count: int) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
-def counts(fps: np.ndarray) -> np.ndarray:
+def counts(words: np.ndarray) -> np.ndarray:
     """The embedding: ones in each segment."""
-    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return bits.reshape(len(fps), BITS // SEGMENT, SEGMENT).sum(2, dtype=np.int32)
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.reshape(len(words), BITS // SEGMENT, SEGMENT).sum(2, dtype=np.int32)
 
 
-def cells(fps: np.ndarray, blocks: int = BLOCKS) -> np.ndarray:
-    """The cell of each fingerprint for each pair of blocks: a row of 36 numbers for nine blocks."""
-    e = counts(fps)
-    parts = np.array_split(np.arange(BITS // SEGMENT), blocks)
-    block = [e[:, p] @ (3 ** np.arange(len(p))) for p in parts]
-    width = 3 ** max(map(len, parts))
-    return np.stack([k * width**2 + block[a] * width + block[b] for k, (a, b) in enumerate(combinations(range(blocks), 2))], 1).astype(np.int64)
+def embed(words: np.ndarray) -> np.ndarray:
+    """The embedding with its counts in unary: 00, 01 or 11 for each segment."""
+    odd = np.uint64(0x5555555555555555)
+    low, high = words & odd, (words >> np.uint64(1)) & odd
+    return (low | high) | ((low & high) << np.uint64(1))
+
+
+def fineness(n: int, distance: int = DISTANCE) -> int:
+    """How many blocks must agree, for n fingerprints: what costs least, in pairs for each fingerprint. Two random segments have
+    equal counts with a probability of 3/8."""
+    cost = lambda s: comb(distance + s, s) * (ROW + n / 2 * 0.375 ** (BITS // SEGMENT * s / (distance + s)))
+    return min(range(1, 9), key=cost)
+
+
+@lru_cache(16)
+def masks(distance: int, s: int) -> np.ndarray:
+    """For each s of distance + s blocks, the bits of an embedding that they hold."""
+    parts = np.array_split(np.arange(BITS // SEGMENT), distance + s)
+    block = [sum(3 << (SEGMENT * int(i)) for i in p) for p in parts]
+    return np.array([sum(block[i] for i in c) for c in combinations(range(distance + s), s)], np.uint64)
+
+
+def cells(e: np.ndarray, word: int, distance: int, s: int) -> np.ndarray:
+    """The cells of each embedding of a word of the fingerprint, a row for each; what two cells have in common by chance is
+    sorted out with all other pairs."""
+    m = masks(distance, s)
+    salt = mix(np.arange(len(m), dtype=np.uint64) + np.uint64(1 + word * len(m)))
+    return mix((e[:, None] & m) ^ salt).view(np.int64)
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,162 +152,116 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = up
 
 
-def close(x: np.ndarray, y: np.ndarray | None, distance: int, reach: int | None = None, sx: np.ndarray | None = None, sy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the distance, and given sketches those within the reach whose sketches agree: of x with itself, or of x
-    with y. Rows in order of their ones in all; the Manhattan distance over whole fingerprints, the difference of those,
-    bounds which of them can meet."""
+def close(x: np.ndarray, y: np.ndarray | None, distance: int = DISTANCE, total: int = TOTAL) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of fingerprints, of x with itself or of x with y, of which the first words lie within the distance and all together
+    within the total."""
     same = y is None
-    y, sy = (x, sx) if same else (y, sy)
-    far = distance if sx is None else max(distance, reach)
-    i, j = np.argsort(np.bitwise_count(x), kind="stable"), np.argsort(np.bitwise_count(y), kind="stable")
-    x, y = x[i], y[j]
-    px, py = np.bitwise_count(x).astype(int), np.bitwise_count(y).astype(int)
+    y = x if same else y
+    ex, ey = embed(x[:, 0]), embed(y[:, 0])
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for a in range(0, len(x), 512):
         b = min(a + 512, len(x))
-        lo, hi = np.searchsorted(py, px[a] - far), np.searchsorted(py, px[b - 1] + far, "right")
-        if same:
-            lo = max(lo, a)
-        for c in range(lo, hi, 2048):
-            d = min(c + 2048, hi)
-            gap = np.bitwise_count(x[a:b, None] ^ y[None, c:d])
-            p, q = np.nonzero(gap <= far)
-            gap = gap[p, q]
-            p, q = i[p + a], j[q + c]
-            if sx is not None:
-                copy = gap <= distance
-                doubt = np.flatnonzero(~copy)
-                copy[doubt] = np.bitwise_count(sx[p[doubt]] ^ sy[q[doubt]]).sum(1, dtype=np.int64) <= APART
-                p, q = p[copy], q[copy]
-            keep = p != q if same else slice(None)
-            out.append((p[keep], q[keep]))
+        for c in range(a if same else 0, len(y), 2048):
+            d = min(c + 2048, len(y))
+            # the Manhattan distance of the embeddings is a lower bound
+            p, q = np.nonzero(np.bitwise_count(ex[a:b, None] ^ ey[None, c:d]) <= distance)
+            p, q = p + a, q + c
+            if same:
+                p, q = p[p < q], q[p < q]
+            gap = np.bitwise_count(x[p] ^ y[q])
+            hit = (gap[:, 0] <= distance) & (gap.sum(1, dtype=np.int64) <= total)
+            out.append((p[hit], q[hit]))
     return tuple(np.concatenate([z[k] for z in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
 
 
-def near(x: np.ndarray, y: np.ndarray | None, distance: int, reach: int | None = None, sx: np.ndarray | None = None, sy: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs that close() finds, as fingerprints: (larger, smaller)."""
-    p, q = close(x, y, distance, reach, sx, sy)
-    both = x if y is None else np.concatenate([x, y])
+def near(nodes: np.ndarray, x: np.ndarray, y: np.ndarray | None, distance: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs that close() finds, as nodes (of x, then y): (larger, smaller)."""
+    p, q = close(x, y, distance, total)
     if y is not None:
         q = q + len(x)
-    order = np.argsort(both, kind="stable")
-    rank = np.empty(len(both), np.int64)
-    rank[order] = np.arange(len(both))
-    label = roots(len(both), rank[p], rank[q])
-    far = np.flatnonzero(label != np.arange(len(both)))
-    values = both[order]
+    order = np.argsort(nodes, kind="stable")
+    rank = np.empty(len(nodes), np.int64)
+    rank[order] = np.arange(len(nodes))
+    label = roots(len(nodes), rank[p], rank[q])
+    far = np.flatnonzero(label != np.arange(len(nodes)))
+    values = nodes[order]
     return values[far], values[label[far]]
 
 
-SKETCHES = [f"s{k}" for k in range(SKETCH)]
-
-
-def _signed(text: pa.Array, more: list[str]) -> list[pa.Array]:
-    """The columns of fingerprints and sketches, null where there is nothing to compare."""
-    own, has = signatures(text, 1 + len(more))
-    return [pa.array(np.ascontiguousarray(own[:, k]).view(np.int64), mask=~has) for k in range(1 + len(more))]
-
-
-def _distinct(table: DataFrame, more: list[str]) -> DataFrame:
-    """The fingerprints; of equal ones the least sketch stands for all."""
-    if not more:
-        return table.select("fp").distinct()
-    return table.groupBy("fp").agg(F.min(F.struct(*more)).alias("s")).select("fp", "s.*")
-
-
-def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: list[str] = []) -> DataFrame:  # noqa: B006
-    """(doc_id, fp) of every row, and the words of its sketch under the names in more; null where there is nothing to
-    compare."""
+def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, txt, w0, ...) of every row: its id (the greatest bigint for a null), a hash of its text, its fingerprint; null where
+    there is nothing to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.steps(batch, "text"):
-                yield pa.record_batch([part.column("doc_id"), *_signed(part.column("text"), more)], names=["doc_id", "fp", *more])
+                own, has = signatures(part.column("text"))
+                words = [pa.array(np.ascontiguousarray(own[:, k]).view(np.int64), mask=~has) for k in range(WORDS)]
+                yield pa.record_batch([part.column("doc"), part.column("txt"), *words], names=["doc", "txt", *WORD])
 
-    kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return kept.mapInArrow(run, ", ".join(["doc_id bigint, fp bigint", *(f"{c} bigint" for c in more)]))
+    kept = docs.select(F.coalesce(common.integer(docs, id_col), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("txt"), F.col(text_col).alias("text"))
+    return kept.mapInArrow(run, ", ".join(["doc bigint, txt bigint", *(f"{c} bigint" for c in WORD)]))
 
 
-def edges(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE, reach: int | None = None) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints whose components are those of all pairs within the distance, or given a reach
-    also of those within it whose sketches agree. fps has the fingerprints, then with a reach the words of their sketches."""
-    if distance >= BLOCKS - 1 if reach is None else reach < distance:
-        raise ValueError(f"the grid finds all pairs for distances below {BLOCKS - 1}, and the reach isn't below the distance")
-    blocks = BLOCKS if reach is None else max(BLOCKS, reach + 2)
-    n_pairs = blocks * (blocks - 1) // 2
-    more = [] if reach is None else SKETCHES
+def edges(distinct: DataFrame, distance: int = DISTANCE, total: int = TOTAL, tile: int = TILE, s: int | None = None) -> DataFrame:
+    """Pairs (a, b) of nodes whose components are those of all copies. distinct: (node, w0, ...), each fingerprint once."""
+    s = s or fineness(distinct.count(), distance)
+    distinct = distinct.select("node", *WORD)
+
+    def all_cells(batch: pa.RecordBatch, at: int, end: int) -> np.ndarray:
+        return np.concatenate([cells(embed(batch.column(1 + k).to_numpy()[at:end].view(np.uint64)), k, distance, s) for k in range(WORDS)], 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, n = np.unique(cells(batch.column(0).to_numpy().view(np.uint64), blocks), return_counts=True)
+            cell, n = np.unique(all_cells(batch, 0, len(batch)), return_counts=True)
             yield pa.record_batch([cell, n], names=["cell", "n"])
 
-    many = fps.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > 1)
-    size = {r.cell: -(-r.n // tile) for r in many.collect()}  # at most one row for each cell of the fixed grid
+    many = distinct.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).filter(F.col("n") > tile)
+    size = {r.cell: -(-r.n // tile) for r in many.collect()}  # only cells of more than a tile, which fineness makes few
     known = np.array(sorted(size), np.int64)
     tiles = np.array([size[c] for c in known.tolist()], np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_fps = batch.column(0).to_numpy().view(np.uint64)
-            for s in range(0, len(all_fps), 4096):
-                own = all_fps[s : s + 4096]
-                cell = cells(own, blocks).ravel()
-                row = np.repeat(np.arange(s, s + len(own)), n_pairs)
-                fp = all_fps[row]
-                if not len(known):
-                    return
-                at = np.minimum(np.searchsorted(known, cell), len(known) - 1)
-                hit = known[at] == cell
-                cell, fp, row, t = cell[hit], fp[hit], row[hit], tiles[at[hit]]
-                mine = (mix(fp) % t.astype(np.uint64)).astype(np.int64)
+            for at in range(0, len(batch), 2048):
+                part = batch.slice(at, 2048)
+                cell = all_cells(batch, at, at + 2048)
+                each = cell.shape[1] // WORDS
+                row = np.repeat(np.arange(len(part)), cell.shape[1])
+                word = np.tile(np.repeat(np.arange(WORDS), each), len(part))
+                cell = cell.ravel()
+                t = np.ones(len(cell), np.int64)
+                if len(known):
+                    k = np.minimum(np.searchsorted(known, cell), len(known) - 1)
+                    t = np.where(known[k] == cell, tiles[k], 1)
+                node, *words = (c.to_numpy() for c in part.columns)
+                mine = (mix(node.view(np.uint64)[row]) % t.astype(np.uint64)).astype(np.int64)
                 other = common.ranges(np.zeros(len(t), np.int64), t)
-                cell, fp, row, mine = np.repeat(cell, t), np.repeat(fp, t), np.repeat(row, t), np.repeat(mine, t)
+                cell, row, word, mine = (np.repeat(x, t) for x in (cell, row, word, mine))
                 lo, hi = np.minimum(mine, other), np.maximum(mine, other)
-                yield pa.record_batch([cell, (lo << 32) | hi, mine == hi, fp.view(np.int64), *(c.take(pa.array(row)) for c in batch.columns[1:])], names=["cell", "tile", "high", "fp", *more])
+                words = np.stack(words, 1)
+                # the cell's own word first
+                turned = [words[row, (word + j) % WORDS] for j in range(WORDS)]
+                yield pa.record_batch([cell, (lo << 32) | hi, mine == hi, node[row], *turned], names=["cell", "tile", "high", "node", *WORD])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def done(rest: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(rest)
-            cell, tile_no, high, fp = (t.column(k).to_numpy() for k in range(4))
-            fp = fp.view(np.uint64)
-            sketch = np.stack([t.column(k).to_numpy().view(np.uint64) for k in range(4, 4 + len(more))], 1) if more else None
+        for t in common.whole_groups(batches, 2):
+            cell, tile_no, high, node, *words = (c.to_numpy() for c in t.columns)
+            words = np.stack(words, 1).view(np.uint64)
             cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (tile_no[1:] != tile_no[:-1])) + 1
             found = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(cell)], strict=True):
                 if b - a > 1:
-                    own, up = None if sketch is None else sketch[a:b], high[a:b]
+                    own, up = words[a:b], high[a:b]
                     if tile_no[a] >> 32 == tile_no[a] & 0xFFFFFFFF:
-                        found.append(near(fp[a:b], None, distance, reach, own))
-                    elif own is None:
-                        found.append(near(fp[a:b][up], fp[a:b][~up], distance))
+                        found.append(near(node[a:b], own, None, distance, total))
                     else:
-                        found.append(near(fp[a:b][up], fp[a:b][~up], distance, reach, own[up], own[~up]))
-            if found:
-                p, q = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (0, 1))
+                        found.append(near(np.append(node[a:b][up], node[a:b][~up]), own[up], own[~up], distance, total))
+            p, q = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+            if len(p):
                 yield pa.record_batch([p, q], names=["a", "b"])
 
-        for batch in batches:
-            cell, tile_no = (batch.column(k).to_numpy() for k in (0, 1))
-            last = len(cell) - 1
-            cut = np.flatnonzero((cell != cell[last]) | (tile_no != tile_no[last]))
-            cut = cut[-1] + 1 if len(cut) else 0
-            if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (cell[last], tile_no[last]):
-                held.append(batch.slice(0, cut))
-                yield from done(held)
-                held = [batch.slice(cut)]
-            elif cut:
-                held.append(batch.slice(0, cut))
-                yield from done(held)
-                held = [batch.slice(cut)]
-            else:
-                held.append(batch)
-        if held:
-            yield from done(held)
-
-    placed = fps.select("fp", *more).mapInArrow(spread, ", ".join(["cell bigint, tile bigint, high boolean, fp bigint", *(f"{c} bigint" for c in more)]))
+    placed = distinct.mapInArrow(spread, ", ".join(["cell bigint, tile bigint, high boolean, node bigint", *(f"{c} bigint" for c in WORD)]))
     placed = placed.repartition("cell", "tile").sortWithinPartitions("cell", "tile")
     return placed.mapInArrow(search, "a bigint, b bigint").distinct()
 
@@ -313,65 +292,50 @@ def components(pairs: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots_)
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, reach: int | None = None) -> DataFrame:
-    """(doc_id, fp, root): the fingerprint of every row and the least fingerprint of its group; both null where a row has
-    nothing to compare."""
+def rooted(docs: DataFrame, id_col: str, text_col: str, distance: int, total: int) -> tuple[DataFrame, list[str]]:
+    """(doc, txt, root) of every row that has a fingerprint, root the same for copies alone; and the tables that it reads."""
     common.ready(docs.sparkSession)
-    more = [] if reach is None else SKETCHES
-    table, _ = common.scratch(fingerprint_table(docs, id_col, text_col, more), "fps")
-    distinct, _ = common.scratch(_distinct(table.filter("fp is not null"), more), "distinct")
-    links = components(edges(distinct, distance, reach=reach))
-    return table.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
+    table, path = common.scratch(fingerprint_table(docs, id_col, text_col).filter("w0 is not null"), "fingerprints")
+    # the node numbers are written, so they stay what they are
+    distinct, distinct_path = common.scratch(table.select(*WORD).distinct().withColumn("node", F.monotonically_increasing_id()), "distinct")
+    links = components(edges(distinct, distance, total))
+    named = distinct.join(links, "node", "left").select(*WORD, F.coalesce("root", "node").alias("root"))
+    return table.join(named, WORD).select("doc", "txt", "root"), [path, distinct_path]
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, reach: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, total: int = TOTAL) -> DataFrame:
     """(doc_id, kept_doc_id, group_size): one row for each row that isn't the first of its group.
 
     The first is the one with the least id. Rows of null ids come last in a group and are returned with a null doc_id;
     a repeated row counts as a copy of itself, so all but one of it are returned. Texts that are null, empty or without
-    letters and digits are nobody's duplicates. Other columns of docs, whatever their names, are ignored. An empty
-    table gives an empty result."""
-    from pyspark.sql import Window
-
-    t = groups(docs, id_col, text_col, distance, reach).filter("fp is not null")
-    whole = t.groupBy("root").agg(F.min("doc_id").alias("kept_doc_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    # one of the rows with the group's least id stays: which one makes no difference to (doc_id, ...)
-    rest = t.join(whole, "root")
-    first = rest.filter(F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))).withColumn("n", F.row_number().over(Window.partitionBy("root").orderBy("fp"))).filter("n > 1").drop("n")
-    return rest.filter(~F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))).unionByName(first).select("doc_id", "kept_doc_id", "group_size")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, reach: int | None = None) -> DataFrame:
+    letters and digits are nobody's duplicates. Ids must be integers; the greatest bigint stands for null. Other columns of
+    docs, whatever their names, are ignored. An empty table gives an empty result. Very long texts are compared whole."""
+    t = rooted(docs, id_col, text_col, distance, total)[0]
+    # rows of one id in one group are counted before they are brought together: no group comes to one task
+    same = t.groupBy("root", "doc").agg(F.count("*").alias("n"))
+    whole = same.groupBy("root").agg(F.min("doc").alias("kept"), F.sum("n").alias("group_size")).filter("group_size > 1")
+    rest = same.join(whole, "root").withColumn("n", F.col("n") - F.when(F.col("doc") == F.col("kept"), 1).otherwise(0)).filter("n > 0")
+    null = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return rest.select(null("doc").alias("doc_id"), null("kept").alias("kept_doc_id"), "group_size", F.explode(F.sequence(F.lit(1).cast("bigint"), "n"))).drop("col")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, total: int = TOTAL) -> DataFrame:
     """docs with one row of each group of near duplicates: that of the least id, then of the least hash of its text; null ids
     come last. Of a row that is given twice one stays. Texts that are null, empty or without letters and digits all stay.
     All columns stay as they are, whatever their names."""
-    from pyspark.sql import Window
-
     spark = docs.sparkSession
-    common.ready(spark)
-    doc, txt, more = "__satchel_doc", "__satchel_txt", [] if reach is None else SKETCHES
-    keyed = docs.withColumn(doc, F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))).withColumn(txt, F.xxhash64(text_col))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.steps(batch, "text"):
-                yield pa.record_batch([part.column("doc"), part.column("txt"), *_signed(part.column("text"), more)], names=["doc", "txt", "fp", *more])
-
-    table = keyed.select(F.col(doc).alias("doc"), F.col(txt).alias("txt"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(["doc bigint, txt bigint, fp bigint", *(f"{c} bigint" for c in more)]))
-    table, table_path = common.scratch(table.filter("fp is not null"), "fps")
-    distinct, distinct_path = common.scratch(_distinct(table, more), "distinct")
-    links = components(edges(distinct, distance, reach=reach))
-    rooted = table.join(links.withColumnRenamed("node", "fp"), "fp", "left").select("doc", "txt", F.coalesce("root", "fp").alias("root"))
-    place = F.row_number().over(Window.partitionBy("root").orderBy("doc", "txt"))
-    whole = rooted.groupBy("root").count().filter("count > 1")
-    # a row for each (doc, txt) of a group: whether it goes, and how often it is given
-    marks = rooted.join(whole.select("root"), "root", "left_semi").groupBy("root", "doc", "txt").agg(F.count("*").alias("n")).withColumn("place", place)
-    marks, _ = common.scratch(marks.filter("place > 1 or n > 1").select(F.col("doc").alias(doc), F.col("txt").alias(txt), (F.col("place") > 1).alias("__satchel_goes"), (F.col("n") > 1).alias("__satchel_again")), "marks")
-    common.drop(spark, table_path)
-    common.drop(spark, distinct_path)
+    t, paths = rooted(docs, id_col, text_col, distance, total)
+    same = t.groupBy("root", "doc", "txt").agg(F.count("*").alias("n"))
+    first = same.groupBy("root").agg(F.min(F.struct("doc", "txt")).alias("first"), F.sum("n").alias("size")).filter("size > 1")
+    # a row for each (doc, txt) of a group: whether it goes, and whether it is given more than once
+    marks = same.join(first, "root").select("doc", "txt", (~F.struct("doc", "txt").eqNullSafe(F.col("first"))).alias("goes"), (F.col("n") > 1).alias("again"))
+    marks, _ = common.scratch(marks.filter("goes or again"), "marks")
+    for path in paths:
+        common.drop(spark, path)
+    keyed = docs.select(common.whole(docs), F.coalesce(common.integer(docs, id_col), F.lit(LAST)).alias("doc"), F.xxhash64(text_col).alias("txt"))
     # the marks grow with docs: never broadcast them, whatever the size
-    marked = keyed.join(marks.hint("merge"), [doc, txt], "left")
-    once = marked.filter("__satchel_goes is null")
-    if not marks.filter("__satchel_again and not __satchel_goes").isEmpty():
-        once = once.unionByName(marked.filter("not __satchel_goes").dropDuplicates([doc, txt]))
-    return once.select(docs.columns)
+    marked = keyed.join(marks.hint("merge"), ["doc", "txt"], "left")
+    once = marked.filter("goes is null").select("row")
+    if not marks.filter("again and not goes").isEmpty():
+        once = once.unionByName(marked.filter("not goes").dropDuplicates(["doc", "txt"]).select("row"))
+    return once.select("row.*")

@@ -1,6 +1,7 @@
 """Array algorithms against plain versions."""
 
 import json
+import math
 import random
 import re
 
@@ -115,32 +116,67 @@ def test_rans_is_near_the_entropy_and_finds_damage():
         rans.decode_block(len(ids), bytes(bad), states, starts, sums, freq)
 
 
+def some_fingerprints(rng, n=400):
+    """Fingerprints some of which lie near one another."""
+    base = rng.integers(0, 1 << 63, (40, simhash.WORDS), np.uint64)
+    flips = [[np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, k, False).astype(np.uint64)) for k in ks] for ks in rng.integers(0, 15, (n, simhash.WORDS))]
+    return np.unique(np.concatenate([base, base[rng.integers(0, 40, n)] ^ np.array(flips, np.uint64)]), axis=0)
+
+
+def plain_copies(x, distance=simhash.DISTANCE, total=simhash.TOTAL):
+    gap = np.array([[[(int(v) ^ int(w)).bit_count() for v, w in zip(a, b, strict=True)] for b in x] for a in x])
+    return (gap.min(2) <= distance) & (gap.sum(2) <= total)
+
+
 def test_manhattan_bounds_hamming_and_grid_finds_all():
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, 40, np.uint64)
-    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, k, False).astype(np.uint64)) for k in rng.integers(0, 12, 400)]
-    fps = np.unique(np.concatenate([base, base[rng.integers(0, 40, 400)] ^ np.array(flips, np.uint64)]))
-    ham = np.bitwise_count(fps[:, None] ^ fps[None])
-    e = simhash.counts(fps)
-    man = np.abs(e[:, None] - e[None]).sum(2)
-    assert (man <= ham).all()
-    cells = simhash.cells(fps)
-    close = np.argwhere((ham <= simhash.DISTANCE) & (np.arange(len(fps))[:, None] < np.arange(len(fps))))
-    assert len(close) > 100 and all((cells[a] == cells[b]).any() for a, b in close)
-    i, j = simhash.close(fps, None, 7)
-    assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == {tuple(x) for x in close.tolist()}
+    x = some_fingerprints(np.random.default_rng(3))
+    for k in range(simhash.WORDS):
+        word = np.ascontiguousarray(x[:, k])
+        ham = np.bitwise_count(word[:, None] ^ word[None])
+        e = simhash.counts(word)
+        man = np.abs(e[:, None] - e[None]).sum(2)
+        u = simhash.embed(word)
+        assert (man <= ham).all() and (np.bitwise_count(u[:, None] ^ u[None]) == man).all()
+        near = np.argwhere((man <= simhash.DISTANCE) & (np.arange(len(x))[:, None] < np.arange(len(x))))
+        assert len(near) > 100
+        for s in (1, 2, 3):
+            cells = simhash.cells(u, k, simhash.DISTANCE, s)
+            assert cells.shape[1] == math.comb(7 + s, s) and all((cells[a] == cells[b]).any() for a, b in near)
+    want = plain_copies(x)
+    got = np.zeros_like(want)
+    for k in range(simhash.WORDS):
+        i, j = simhash.close(np.roll(x, -k, 1), None)
+        assert (i < j).all()
+        got[i, j] = True
+    assert (got == np.triu(want, 1)).all() and got.sum() > 100
+    half = len(x) // 2
+    i, j = simhash.close(x[:half], x[half:])
+    word = np.bitwise_count(x[:half, None, 0] ^ x[None, half:, 0]) <= 7
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {tuple(p) for p in np.argwhere(want[:half, half:] & word).tolist()}
+
+
+def test_grid_follows_the_table():
+    fine = [simhash.fineness(10**k) for k in (2, 4, 6, 7, 9)]
+    assert fine == sorted(fine) and fine[0] == 1 and fine[-1] > fine[1]
+    part = lambda s: math.comb(7 + s, s) * 0.375 ** (32 * s / (7 + s))
+    shares = [part(simhash.fineness(n)) for n in (10**4, 10**6, 10**8)]
+    assert shares == sorted(shares, reverse=True) and shares[0] > 10 * shares[2]
 
 
 def test_fingerprint_is_the_plain_one():
     from satchel.llm.words import mix
 
     text = "The cat, the CAT and the dog"
-    fp, has = simhash.fingerprints(pa.array([text, "cat the AND dog", "", None, "?!"]))
-    assert has.tolist() == [True, True, False, False, False] and fp[0] == fp[1]
+    fp, has = simhash.signatures(pa.array([text, "cat the AND dog", "", None, "?!"]))
+    assert has.tolist() == [True, True, False, False, False] and (fp[0] == fp[1]).all()
     cps = simhash.lower()[np.array([ord(c) for c in "cat"])]
-    one, _ = simhash.fingerprints(pa.array(["cat"]))
+    one, _ = simhash.signatures(pa.array(["cat"]))
     h = simhash.hashes(cps, np.array([0]), np.array([3]))
-    assert one[0] == mix(h >> np.uint64(20))[0]
+    assert one[0].tolist() == [mix(h >> np.uint64(20) | np.uint64(k << 44))[0] for k in range(simhash.WORDS)]
+    long = " ".join(f"w{k}, w{k % 7}" for k in range(200_000))
+    got, _ = simhash.signatures(pa.array([long]))
+    rest, _ = simhash.signatures(pa.array([" ".join(f"W{k}" for k in reversed(range(200_000))), "x"]))
+    assert (got[0] == rest[0]).all()
 
 
 def test_tree_search_is_exact():

@@ -152,8 +152,13 @@ def test_quality_of_labelled_documents(spark):
     assert len(bad) > 30 and np.mean(bad) < 0.1 and np.mean(good) > 0.98
 
 
-def plain_groups(rows, distance=simhash.DISTANCE):
-    fps, has = simhash.fingerprints(pa.array([t for _, t in rows], pa.string()))
+def plain_groups(rows):
+    x, has = simhash.signatures(pa.array([t for _, t in rows], pa.string()))
+    copies = np.zeros((len(rows), len(rows)), bool)
+    for a in range(len(rows)):
+        gap = np.array([(x[a] ^ y).tolist() for y in x[: a + 1]], np.uint64)
+        gap = np.bitwise_count(gap)
+        copies[a, : a + 1] = (gap.min(1) <= simhash.DISTANCE) & (gap.sum(1) <= simhash.TOTAL)
     root = list(range(len(rows)))
 
     def find(i):
@@ -161,10 +166,8 @@ def plain_groups(rows, distance=simhash.DISTANCE):
             i = root[i]
         return i
 
-    for a in range(len(rows)):
-        for b in range(a):
-            if has[a] and has[b] and int(fps[a] ^ fps[b]).bit_count() <= distance:
-                root[max(find(a), find(b))] = min(find(a), find(b))
+    for a, b in np.argwhere(copies & has[:, None] & has[None]).tolist():
+        root[max(find(a), find(b))] = min(find(a), find(b))
     groups = defaultdict(list)
     for i in range(len(rows)):
         groups[find(i)].append(i)
@@ -198,25 +201,21 @@ def test_simhash_finds_edited_copies(spark, tmp_path):
     docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = {tuple(r) for r in QUERIES["op9_simhash"](spark, str(tmp_path)).collect()}
     assert got <= {(2 * k + 1, 2 * k, 2) for k in range(150)} and len(got) > 0.9 * 150
-    one = simhash.keep_one(docs(spark, rows), reach=simhash.REACH)
+    one = simhash.keep_one(docs(spark, rows))
     assert {r.doc_id for r in one.collect()} == {i for i, _ in rows} - {i for i, *_ in got}
 
 
-def test_simhash_reach_is_exact(spark):
+@pytest.mark.parametrize(("s", "tile"), [(1, simhash.TILE), (1, 8), (2, 8), (3, 50)])
+def test_simhash_is_exact_on_every_grid(spark, s, tile):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
-    own, has = simhash.signatures(pa.array([r.text for r in table.collect()], pa.string()), 1 + simhash.SKETCH)
-    own = own[has]
-    own = own[np.lexsort(own.T[::-1].view(np.int64))]  # of equal fingerprints the least sketch
-    own = own[np.append(True, own[1:, 0] != own[:-1, 0])]
+    own, has = simhash.signatures(pa.array([r.text for r in table.collect()], pa.string()))
+    own = np.unique(own[has], axis=0)
     gap = np.bitwise_count(own[:, None] ^ own[None]).astype(int)
-    a, b = np.nonzero((gap[..., 0] <= simhash.DISTANCE) | ((gap[..., 0] <= simhash.REACH) & (gap[..., 1:].sum(2) <= simhash.APART)))
+    a, b = np.nonzero((gap.min(2) <= simhash.DISTANCE) & (gap.sum(2) <= simhash.TOTAL))
     want = simhash.roots(len(own), a, b)
-    fps = spark.createDataFrame([tuple(r) for r in own.view(np.int64).tolist()], "fp bigint, s0 bigint, s1 bigint")
-    for tile in (simhash.TILE, 8):
-        p, q = np.array([tuple(r) for r in simhash.edges(fps, tile=tile, reach=simhash.REACH).collect()]).T
-        at = {f: k for k, f in enumerate(own[:, 0].view(np.int64).tolist())}
-        got = simhash.roots(len(own), np.array([at[x] for x in p]), np.array([at[x] for x in q]))
-        assert (got == want).all() and (want != np.arange(len(own))).any()
+    distinct = spark.createDataFrame([(k, *r) for k, r in enumerate(own.view(np.int64).tolist())], "node bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint")
+    p, q = np.array([tuple(r) for r in simhash.edges(distinct, tile=tile, s=s).collect()]).T
+    assert (simhash.roots(len(own), p, q) == want).all() and (want != np.arange(len(own))).any()
 
 
 def test_chain_of_pairs_is_one_component(spark):
