@@ -1,12 +1,13 @@
-"""Exact top-k by inner product, every row a query.
+"""Exact top-k by inner product, for all rows or a set of queries among them.
 
 Vectors are laid out in shards by their nearest pivot (the pivots only lay out the data: the result doesn't depend on them).
-Each shard has a ball tree. A query first searches its own shard; its kth score then goes with it to every other shard whose
-ball could hold a better one, and there bounds the search from the start. A search takes the nodes in the order of their
+Each shard has a ball tree, and a ball about its pivot. A query first searches its own shard, then the NEXT shards of the
+greatest upper bounds, then all others that could still hold a better one: from round to round its current kth score goes with
+it, decides which shards it is sent to, and bounds the search there from the start. A search takes the nodes in the order of their
 upper bound, q.c + |q| r for a ball of centre c and radius r, for a block of queries at once: of a block, only those go into
 a node whose bound reaches their kth score.
 
-Shards number about sqrt(rows) / 32, so neither the pivots that are broadcast nor a shard grow in proportion to the table. A
+Shards number about sqrt(rows) / 8, so neither the pivots that are shipped nor a shard grow in proportion to the table. A
 cell that is much larger than the rest is divided by hash.
 """
 
@@ -25,6 +26,8 @@ from satchel.llm import common
 K = 10
 #: Vectors of a leaf at most, queries of a block at most.
 LEAF, BLOCK = 256, 512
+#: Shards of a query's second round.
+NEXT = 4
 #: Scores are ranked after rounding to this many places, so that equal vectors tie; bounds get this much more.
 PLACES, SLACK = 9, 1e-8
 SCHEMA = "vec_id bigint, own bigint, neighbor_id bigint, other bigint, score double"
@@ -141,116 +144,108 @@ def _visit(k: int):
     return run
 
 
-def top_k(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shards: int | None = None) -> DataFrame:
-    """(vec_id, rank, neighbor_id, score): the k rows of the greatest inner product with each row, itself left out, the score
-    rounded to six places. Ties go to the lesser id.
+def _pivots(clean: DataFrame, many: dict[int, int]) -> dict[int, np.ndarray]:
+    """So many vectors of each length, those of the least hashes."""
+    out = {}
+    for d, n in sorted(many.items()):
+        rows = clean.filter(F.size("v") == d).orderBy(F.xxhash64("own"), "vec_id", "own").select("v").limit(n).collect()
+        out[d] = np.array(sorted(list(r.v) for r in rows), float)
+    return out
+
+
+def _send(pivots: dict[int, np.ndarray], radii: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], home: bool | None):
+    """Queries to shards. home: True for their own, False for the NEXT others by the bound, None for all beyond these, as far as the
+    bound reaches the kth score. The order of the shards is that of the bounds, which don't change from round to round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = batch.column("d").to_numpy()
+            for size in np.unique(d).tolist():
+                part = batch.filter(pa.array(d == size))
+                names, at, r = radii[size]
+                c = pivots[size][at]
+                for s in range(0, len(part), 1024):
+                    some = part.slice(s, 1024)
+                    mine = names == some.column("shard").to_numpy(zero_copy_only=False)[:, None]
+                    if home:
+                        hit = mine
+                    else:
+                        x = _matrix(some.column("v"))
+                        bound = np.where(mine, -np.inf, x @ c.T + np.sqrt((x**2).sum(1))[:, None] * r + SLACK)
+                        place = np.empty(bound.shape, np.int64)
+                        np.put_along_axis(place, np.argsort(-bound, 1, kind="stable"), np.arange(bound.shape[1])[None], 1)
+                        hit = ~mine & (bound >= some.column("kth").to_numpy()[:, None]) & ((place < NEXT) if home is False else (place >= NEXT))
+                    row, to = np.nonzero(hit)
+                    own = some.take(pa.array(row))
+                    yield pa.record_batch([pa.array(names[to], pa.string()), pa.array(np.ones(len(row), np.int32)), *(own.column(k) for k in ("vec_id", "own", "v", "kth"))], names=["shard", "kind", "vec_id", "own", "v", "kth"])
+
+    return run
+
+
+def top_k(table: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", shards: int | None = None, every: int = 1) -> DataFrame:
+    """(vec_id, rank, neighbor_id, score): the k rows of the greatest inner product with each query, itself left out, the score
+    rounded to six places. Ties go to the lesser id. Queries are the rows whose id is divisible by `every`, and with 1 all rows,
+    those of a null id too.
 
     Vectors that are null or empty, or hold a null, NaN or infinity, neither search nor are found; vectors are compared with
     those of the same length. A row given twice counts once; rows of one id with different vectors are different rows. A
-    null id counts as the greatest number, and is null in the result. Other columns, whatever their names, are ignored. An
-    empty table gives an empty result, and a row with fewer than k others finds all of them."""
+    null id counts as the greatest number, and is null in the result; ids must be integers. Other columns, whatever their
+    names, are ignored. An empty table gives an empty result, and a row with fewer than k others finds all of them."""
     spark = table.sparkSession
     common.ready(spark)
     top = (1 << 63) - 1
     v = F.col("v")
-    clean = table.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(top)).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = table.select(F.col(vector_col)).dtypes[0][1]
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    clean = table.select(F.coalesce(common.integer(table, id_col), F.lit(top)).alias("vec_id"), F.col(vector_col).cast(kind).alias("v"))
     clean = clean.filter(v.isNotNull() & (F.size(v) > 0)).filter(~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
     clean = clean.select("vec_id", F.xxhash64("v").alias("own"), "v").dropDuplicates(["vec_id", "own"])
     clean, clean_path = common.scratch(clean, "vectors")
-    sizes = {r.d: r.n for r in clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}
-    number = {d: shards or max(1, -(-int(n**0.5) // 32)) for d, n in sizes.items()}
-    many = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in number.items() for x in p)), F.size("v")), F.lit(1)) if number else F.lit(1)
-    first = clean.select(F.size("v").alias("d"), "v", many.alias("many"), F.row_number().over(Window.partitionBy(F.size("v")).orderBy(F.xxhash64("own"), "vec_id")).alias("n"))
-    pivots = {d: [] for d in sizes}
-    for r in first.filter("n <= many").select("d", "v").collect():  # about sqrt(rows) / 32 vectors
-        pivots[r.d].append(r.v)
-    pivots = {d: np.array(sorted(p)) for d, p in pivots.items()}
+    sizes = {r.d: r.n for r in clean.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row for each length
+    number = {d: shards or max(1, -(-int(n**0.5) // 8)) for d, n in sizes.items()}
+    pivots = _pivots(clean, number)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector's nearest pivot and its distance."""
         for batch in batches:
             col = batch.column("v")
             d = col.value_lengths().to_numpy()
-            cell = np.zeros(len(d), np.int64)
+            cell, far = np.zeros(len(d), np.int64), np.zeros(len(d))
             for size in np.unique(d).tolist():
                 at = np.flatnonzero(d == size)
                 x, p = _matrix(col.take(pa.array(at))), pivots[size]
                 cell[at] = ((p * p).sum(1) - 2 * (x @ p.T)).argmin(1)
-            yield pa.record_batch([*batch.columns, pa.array(d.astype(np.int32)), pa.array(cell)], names=[*batch.schema.names, "d", "cell"])
+                far[at] = np.sqrt(((x - p[cell[at]]) ** 2).sum(1)) * (1 + 1e-12)
+            yield pa.record_batch([*batch.columns, pa.array(d.astype(np.int32)), pa.array(cell), pa.array(far)], names=[*batch.schema.names, "d", "cell", "far"])
 
-    placed = clean.mapInArrow(place, "vec_id bigint, own bigint, v array<double>, d int, cell bigint")
-    counted = {(r.d, r.cell): r.n for r in placed.groupBy("d", "cell").agg(F.count("*").alias("n")).collect()}
+    placed, _ = common.scratch(clean.mapInArrow(place, f"vec_id bigint, own bigint, v {kind}, d int, cell bigint, far double"), "placed")
+    common.drop(spark, clean_path)
+    counted = {(r.d, r.cell): r.n for r in placed.groupBy("d", "cell").agg(F.count("*").alias("n")).collect()}  # a row for each pivot
     parts = {c: max(1, -(-n // (2 * -(-sizes[c[0]] // number[c[0]])))) for c, n in counted.items()}
     split = {f"{d}/{c}": m for (d, c), m in parts.items() if m > 1}
     name = F.concat_ws("/", "d", "cell")
     salt = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for p in split.items() for x in p)), name), F.lit(1)) if split else F.lit(1)
-    sharded = placed.select("vec_id", "own", "v", "d", F.concat_ws("/", name, F.pmod(F.xxhash64("own", "vec_id"), salt)).alias("shard"))
-    sharded, path = common.scratch(sharded, "shards")
-    common.drop(spark, clean_path)
+    sharded = placed.select("vec_id", "own", "v", "d", "cell", "far", F.concat_ws("/", name, F.pmod(F.xxhash64("own", "vec_id"), salt)).alias("shard"))
+    radii: dict[int, list] = {}
+    for r in sharded.groupBy("d", "shard").agg(F.min("cell").alias("cell"), F.max("far").alias("far")).orderBy("shard").collect():  # a row for each shard
+        radii.setdefault(r.d, []).append((r.shard, r.cell, r.far))
+    balls = {d: (np.array([x[0] for x in own], object), np.array([x[1] for x in own]), np.array([x[2] for x in own])) for d, own in radii.items()}
     data = sharded.select("shard", F.lit(0).alias("kind"), "vec_id", "own", "v", F.lit(float("-inf")).alias("kth"))
-
-    def visit(queries: DataFrame) -> DataFrame:
-        every = data.unionByName(queries)
-        return every.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_visit(k), SCHEMA)
-
-    home, _ = common.scratch(visit(data.withColumn("kind", F.lit(1))), "home")
-    # each shard's ball, and who could find more in it
-    balls = {}
-
-    def ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, list] = {}
-        for batch in batches:
-            names = batch.column("shard").to_numpy(zero_copy_only=False)
-            for s in np.unique(names):
-                x = _matrix(batch.column("v").filter(pa.array(names == s)))
-                t = total.setdefault(s, [0, 0.0])
-                t[0] += len(x)
-                t[1] = t[1] + x.sum(0)
-        for s, (n, total_x) in total.items():
-            yield pa.record_batch([pa.array([s]), pa.array([n]), pa.array([total_x.tolist()])], names=["shard", "n", "x"])
-
-    def radius(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far: dict[str, float] = {}
-        for batch in batches:
-            names = batch.column("shard").to_numpy(zero_copy_only=False)
-            for s in np.unique(names):
-                x = _matrix(batch.column("v").filter(pa.array(names == s)))
-                far[s] = max(far.get(s, 0.0), float(np.sqrt(((x - centres[s]) ** 2).sum(1)).max()))
-        if far:
-            yield pa.record_batch([pa.array(list(far)), pa.array(list(far.values()))], names=["shard", "r"])
-
-    sums: dict[str, list] = {}
-    for r in sharded.select("shard", "v").mapInArrow(ball, "shard string, n bigint, x array<double>").collect():  # a row for each shard and task
-        t = sums.setdefault(r.shard, [0, 0.0])
-        t[0] += r.n
-        t[1] = t[1] + np.array(r.x)
-    centres = {s: x / n for s, (n, x) in sums.items()}
-    radii: dict[str, float] = {}
-    for r in sharded.select("shard", "v").mapInArrow(radius, "shard string, r double").collect():
-        radii[r.shard] = max(radii.get(r.shard, 0.0), r.r)
-    for s in sorted(centres):
-        balls.setdefault(len(centres[s]), ([], [], []))
-        for to, what in zip(balls[len(centres[s])], (s, centres[s], radii[s] * (1 + 1e-12)), strict=True):
-            to.append(what)
-    balls = {d: (np.array(s, object), np.array(c), np.array(r)) for d, (s, c, r) in balls.items()}
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = batch.column("d").to_numpy()
-            for size in np.unique(d).tolist():
-                part = batch.filter(pa.array(d == size))
-                names, c, r = balls[size]
-                x, kth, mine = _matrix(part.column("v")), part.column("kth").to_numpy(), part.column("shard").to_numpy(zero_copy_only=False)
-                for s in range(0, len(x), 1024):
-                    e = s + 1024
-                    bound = x[s:e] @ c.T + np.sqrt((x[s:e] ** 2).sum(1))[:, None] * r + SLACK
-                    row, to = np.nonzero((bound >= kth[s:e, None]) & (names != mine[s:e, None]))
-                    own = part.slice(s, 1024).take(pa.array(row))
-                    yield pa.record_batch([pa.array(names[to], pa.string()), pa.array(np.ones(len(row), np.int32)), own.column("vec_id"), own.column("own"), own.column("v"), own.column("kth")], names=["shard", "kind", "vec_id", "own", "v", "kth"])
-
-    bar = home.groupBy("vec_id", "own").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    asked = sharded.join(bar, ["vec_id", "own"], "left").select("vec_id", "own", "v", "d", "shard", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"))
-    found = visit(asked.mapInArrow(send, "shard string, kind int, vec_id bigint, own bigint, v array<double>, kth double"))
-    by = Window.partitionBy("vec_id", "own").orderBy(F.desc("score"), "neighbor_id", "other")
-    ranked = home.unionByName(found).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    asked = sharded.select("vec_id", "own", "v", "d", "shard")
+    if every != 1:
+        asked = asked.filter((F.col("vec_id") % every == 0) & (F.col("vec_id") != top))
+    found = None
+    for home in (True, False, None):
+        if found is None:
+            now = asked.withColumn("kth", F.lit(float("-inf")))
+        else:
+            bar = found.groupBy("vec_id", "own").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+            now = asked.join(bar, ["vec_id", "own"], "left").withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
+        sent = now.mapInArrow(_send(pivots, balls, home), f"shard string, kind int, vec_id bigint, own bigint, v {kind}, kth double")
+        got = data.unionByName(sent).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_visit(k), SCHEMA)
+        by = Window.partitionBy("vec_id", "own").orderBy(F.desc("score"), "neighbor_id", "other")
+        best = (got if found is None else found.unionByName(got)).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+        if home is not None:
+            found, _ = common.scratch(best.drop("rank"), "found")
     null = lambda c: F.when(F.col(c) != top, F.col(c))
-    return ranked.select(null("vec_id").alias("vec_id"), "rank", null("neighbor_id").alias("neighbor_id"), F.round("score", 6).alias("score"))
+    return best.select(null("vec_id").alias("vec_id"), "rank", null("neighbor_id").alias("neighbor_id"), F.round("score", 6).alias("score"))

@@ -104,6 +104,10 @@ def test_top_k(spark):
     assert got[904] == [(905, 6.0)] and got[905] == [(904, 6.0)]
     assert not {900, 901, 902, 903} & set(got)
     assert topk.top_k(table.limit(0)).count() == 0
+    some = defaultdict(list)
+    for r in topk.top_k(table, shards=9, every=50).orderBy("rank").collect():
+        some[r.vec_id].append((r.neighbor_id, r.score))
+    assert some == {i: x for i, x in got.items() if i is not None and i % 50 == 0}
 
 
 def test_chats(spark):
