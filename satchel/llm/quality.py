@@ -1,13 +1,15 @@
 """Quality by robust multivariate outliers.
 
 Each document has a vector of transformed statistics. For each language and source the minimum covariance determinant
-gives their location and scatter: from the coordinates' medians and median deviations, concentration steps take the half
-(three quarters here) of the documents nearest by Mahalanobis distance and estimate from these alone, then one reweighted
+gives their location and scatter: of the subsets of three quarters of the documents that of the least determinant is
+sought from several deterministic starts (diagonal median deviations, the correlations of squashed coordinates, the
+spatial signs). From each, concentration steps take the three quarters nearest by Mahalanobis distance and estimate from
+these alone, until no determinant falls any more; the start that ends at the least determinant is taken, and one reweighted
 step takes all within the 97.5 % quantile. Documents beyond FAR of the final distance are rejected.
 
-A step is one aggregation of moments by group and by bin of the logarithm of the squared distance: the nearest three quarters
-are whole bins, so nothing but moments is moved, however large a group is. Groups under MIN_GROUP documents are pooled by
-language, and languages still under it together.
+A step is one aggregation of moments by group, start and bin of the logarithm of the squared distance: the nearest three quarters
+are whole bins, so nothing but moments is moved, however large a group is. A group's estimate is drawn towards that of its
+language, and this towards that of all documents, by weights n / (n + SHRINK): smoothly, so no group is too small.
 """
 
 from __future__ import annotations
@@ -19,19 +21,23 @@ from math import exp, lgamma, log
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from satchel.llm import common
 from satchel.llm.pretok import LETTER, NUMBER, SPACE, tables
-from satchel.llm.words import bounds, hash_words
+from satchel.llm.words import bounds, hash_words, windows
 
 NAMES = ("word_length", "symbols", "digits", "capitals", "variety")
 P = len(NAMES)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
-#: Part of a group that a concentration step takes, steps, bins for each doubling of the squared distance.
-SHARE, STEPS, BINS = 0.75, 6, 16
-MIN_GROUP = 200
+#: Part of a group that a concentration step takes, bins for each doubling of the squared distance.
+SHARE, BINS = 0.75, 16
+#: Steps end when no logarithm of a determinant falls by more than this (1 % of a coordinate's variance), or after so many.
+FALL, STEPS = 0.05, 12
+#: Documents as which the estimate of the language counts in that of a group, and that of all in that of a language.
+SHRINK = 100.0
+STARTS = 3
 #: Squared distance beyond which a document is rejected: ten spreads. Usual documents have far heavier tails than a normal
 #: distribution, of which hardly any quantile lies as far.
 FAR = 100.0
@@ -73,27 +79,44 @@ def upper() -> np.ndarray:
     return out
 
 
+def _characters(text: str, chars: np.ndarray) -> np.ndarray:
+    """Characters, blanks, digits, letters and capitals of texts that follow one another, a column for each text."""
+    cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    edge = np.append(0, np.cumsum(chars))
+    kind = tables()[0][cps]
+    count = lambda mask: np.diff(np.append(0, np.cumsum(mask))[edge])
+    return np.stack([chars, count(kind == SPACE), count(kind == NUMBER), count(kind == LETTER), count(upper()[cps])])
+
+
+def _words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and the distinct ones as the text's number and 44 bits of a hash."""
+    words = np.diff(firsts)
+    doc = np.repeat(np.arange(len(words), dtype=np.uint64), words)
+    keys = np.sort((doc << np.uint64(44)) | (hash_words(raw, starts, ends) >> np.uint64(20)))
+    return words, keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def statistics(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The vector of each text, and whether it has words. Shares are of whole texts, drawn towards a usual share so that short
     texts aren't far from it by chance, and transformed by the arcsine of the root. Digits come in clumps (a telephone or card
     number) and most texts have none, so a usual share of as many as a few clumps have is added: else the scatter of their
-    share would be that of the texts' lengths."""
+    share would be that of the texts' lengths. Long texts are counted in windows."""
     col = pc.fill_null(arr, "")
     rows = len(arr)
     chars = pc.utf8_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
-    cps = np.frombuffer("".join(col.to_pylist()).encode("utf-32-le"), np.uint32)
-    edge = np.append(0, np.cumsum(chars))
-    kind = tables()[0][cps]
-    count = lambda mask: np.diff(np.append(0, np.cumsum(mask))[edge])
-    space, digit, letter, capital = count(kind == SPACE), count(kind == NUMBER), count(kind == LETTER), count(upper()[cps])
     raw, offsets = common.flat_bytes(arr)
-    starts, ends, firsts = bounds(raw, offsets)
-    words = np.diff(firsts)
-    doc = np.repeat(np.arange(rows, dtype=np.uint64), words)
-    keys = np.sort((doc << np.uint64(44)) | (hash_words(raw, starts, ends) >> np.uint64(20)))
-    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    if rows == 1 and len(raw) > common.STEP_BYTES:
+        text, size = col[0].as_py(), common.STEP_BYTES // 4
+        parts = [text[k : k + size] for k in range(0, len(text), size)]
+        counted = sum(_characters(p, np.array([len(p)])) for p in parts)
+        found = [(own, _words(raw, a[:own], b[:own], np.array([0, own]))[1]) for _, own, a, b in windows(raw, common.STEP_BYTES, 0)]
+        words, keys = np.array([sum(n for n, _ in found)]), np.unique(np.concatenate([k for _, k in found]))
+    else:
+        counted = _characters("".join(col.to_pylist()), chars)
+        words, keys = _words(raw, *bounds(raw, offsets))
+    total, space, digit, letter, capital = counted
     distinct = np.bincount((keys >> np.uint64(44)).astype(np.int64), minlength=rows)
-    solid = chars - space
+    solid = total - space
     symbol = solid - digit - letter
     share = lambda k, n, usual, weight: np.arcsin(np.sqrt((k + usual * weight) / (n + weight)))
     out = np.stack(
@@ -109,50 +132,68 @@ def statistics(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, words > 0
 
 
-def _schema(table: DataFrame, keep: list[str], more: str) -> str:
-    from pyspark.sql.types import StructType
-
-    own = StructType([table.schema[c] for c in keep]).toDDL()
-    return own + (", " if keep else "") + more
-
+def vectors(table: DataFrame, text: str, field: str | None = None) -> DataFrame:
+    """The table's columns but the text, and the statistics, null for texts without words. With a field, the text is that field of
+    the column `text`, which stays."""
+    from pyspark.sql.types import DoubleType, StructType
 
-def vectors(table: DataFrame, text_col: str, keep: list[str], prefix: str) -> DataFrame:
-    """keep's columns and the statistics, null for texts without words."""
+    keep = [f for f in table.schema if field or f.name != text]
+    schema = StructType(list(keep))
+    for name in NAMES:
+        schema = schema.add(name, DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.steps(batch, text_col):
-                x, has = statistics(part.column(text_col))
-                yield pa.record_batch([*(part.column(c) for c in keep), *(pa.array(x[:, k], mask=~has) for k in range(P))], names=[*keep, *(prefix + n for n in NAMES)])
+            own = batch.column(text)
+            own = own.field(field) if field else own
+            for part in common.steps_of(batch, common.lens_of(own)):
+                some = part.column(text)
+                x, has = statistics(some.field(field) if field else some)
+                yield pa.record_batch([*(part.column(f.name) for f in keep), *(pa.array(x[:, k], mask=~has) for k in range(P))], names=schema.names)
 
-    return table.mapInArrow(run, _schema(table, keep, ", ".join(f"{prefix}{n} double" for n in NAMES)))
+    return table.mapInArrow(run, schema)
 
 
-def _by_group(table: DataFrame, function, schema: str) -> DataFrame:
-    """Few rows for each group, g first and sorted by the second column, to a row for each group."""
+def _by_group(table: DataFrame, keys: list[str], function, names: list[str]) -> DataFrame:
+    """Few rows for each group (keys, then numbers; sorted by the first of them) to what the function makes of them: rows of numbers."""
+    schema = ", ".join([f"{k} {dict(table.dtypes)[k]}" for k in keys] + [f"{n} double" for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in common.whole_groups(batches, 1):
-            g = t.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
-            cols = np.stack([c.to_numpy() for c in t.columns[1:]], 1).astype(float)
-            got = [[g[a], *function(cols[a:b])] for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.record_batch([pa.array([r[k] for r in got]) for k in range(len(got[0]))], names=[x.split()[0] for x in schema.split(", ")])
+        for t in common.whole_groups(batches, len(keys)):
+            own = [t.column(k).to_numpy() for k in range(len(keys))]
+            differs = np.zeros(len(own[0]) - 1, bool)
+            for k in own:
+                differs |= k[1:] != k[:-1]
+            cuts = [0, *(np.flatnonzero(differs) + 1).tolist(), len(own[0])]
+            cols = np.stack([c.to_numpy() for c in t.columns[len(keys) :]], 1).astype(float)
+            got = [([k[a] for k in own], row) for a, b in zip(cuts, cuts[1:], strict=False) for row in function(cols[a:b])]
+            yield pa.record_batch([*(pa.array([k[i] for k, _ in got]) for i in range(len(keys))), *(pa.array([float(r[i]) for _, r in got]) for i in range(len(names)))], names=[*keys, *names])
 
-    return table.repartition("g").sortWithinPartitions(*table.columns[:2]).mapInArrow(run, schema)
+    return table.repartition(*keys).sortWithinPartitions(*table.columns[: len(keys) + 1]).mapInArrow(run, schema)
 
 
-MODEL = "g string, " + ", ".join([*(f"m{i} double" for i in range(P)), *(f"v{i}_{j} double" for i, j in PAIRS)])
+MEAN, SCATTER, INVERSE = [f"m{i}" for i in range(P)], [f"c{i}_{j}" for i, j in PAIRS], [f"v{i}_{j}" for i, j in PAIRS]
+MODEL = ["start", "n", "det", "old", *MEAN, *SCATTER, *INVERSE]
+
+
+def _full(values: np.ndarray) -> np.ndarray:
+    out = np.zeros((P, P))
+    for k, (i, j) in enumerate(PAIRS):
+        out[i, j] = out[j, i] = values[k]
+    return out
 
 
-def _model(mean: np.ndarray, cov: np.ndarray) -> list[float]:
-    inverse = np.linalg.inv(cov + np.eye(P) * FLOOR**2)
-    return [*mean.tolist(), *(float(inverse[i, j]) for i, j in PAIRS)]
+def _model(start: float, n: float, old: float, mean: np.ndarray, cov: np.ndarray) -> list[float]:
+    """A row of MODEL; det is the logarithm of the determinant."""
+    wide = cov + np.eye(P) * FLOOR**2
+    inverse = np.linalg.inv(wide)
+    return [start, n, float(np.linalg.slogdet(wide)[1]), old, *mean.tolist(), *(float(cov[i, j]) for i, j in PAIRS), *(float(inverse[i, j]) for i, j in PAIRS)]
 
 
-def _start(rows: np.ndarray) -> list[float]:
+def _medians(rows: np.ndarray) -> list[list[float]]:
     """From (coordinate, bin, count): medians, and median deviations as a diagonal scatter."""
     mean, var = np.zeros(P), np.zeros(P)
+    total = rows[rows[:, 0] == 0][:, 2].sum()
     for i in range(P):
         own = rows[rows[:, 0] == i]
         x, n = (own[:, 1] + 0.5) / FINE, own[:, 2]
@@ -164,75 +205,137 @@ def _start(rows: np.ndarray) -> list[float]:
 
         mean[i] = median(x, n)
         var[i] = (1.4826 * median(np.abs(x - mean[i]), n)) ** 2
-    return _model(mean, np.diag(var))
+    return [_model(0, total, 0, mean, np.diag(var))]
+
+
+def _starts(rows: np.ndarray) -> list[list[float]]:
+    """All starts of a group, from one row: count, medians, spreads, sums and products of squashed coordinates, products of signs."""
+    row = rows[0]
+    n, mean, spread = row[1], row[2 : 2 + P], row[2 + P : 2 + 2 * P]
+    sums, products, signs = np.split(row[2 + 2 * P :], [P, P + len(PAIRS)])
+    out = [_model(0, n, np.inf, mean, np.diag(spread**2))]
+    centre = sums / n
+    squashed = _full(products / n) - np.outer(centre, centre)
+    for k, shape in enumerate((squashed, _full(signs / n)), 1):
+        by = np.sqrt(np.maximum(np.diag(shape), 1e-9))
+        correlation = shape / np.outer(by, by)
+        np.fill_diagonal(correlation, 1.0)
+        out.append(_model(k, n, np.inf, mean, correlation * np.outer(spread, spread)))
+    return out
 
 
 def _concentrate(share: float):
-    """From (bin, count, sums, sums of products) to the estimate from the nearest bins that hold the share of a group."""
+    """From (bin, count, old determinant, sums, sums of products) to the estimate from the nearest bins that hold the share of a group."""
 
-    def step(rows: np.ndarray) -> list[float]:
-        total = np.cumsum(rows[:, 1])
+    def step(rows: np.ndarray) -> list[list[float]]:
+        total = np.cumsum(rows[:, 2])
         take = rows[: int(np.searchsorted(total, share * total[-1] - 1e-9)) + 1]
-        part = take[:, 1].sum() / total[-1]
-        return _moments(take, part)
+        return [_moments(take, take[:, 2].sum() / total[-1], total[-1])]
 
     return step
 
 
-def _moments(rows: np.ndarray, part: float) -> list[float]:
-    n = rows[:, 1].sum()
-    mean = rows[:, 2 : 2 + P].sum(0) / n
-    cov = np.zeros((P, P))
-    for k, (i, j) in enumerate(PAIRS):
-        cov[i, j] = cov[j, i] = rows[:, 2 + P + k].sum() / n - mean[i] * mean[j]
+def _moments(rows: np.ndarray, part: float, every: float) -> list[float]:
+    n = rows[:, 2].sum()
+    mean = rows[:, 4 : 4 + P].sum(0) / n
+    cov = _full(rows[:, 4 + P :].sum(0) / n) - np.outer(mean, mean)
     if part < 1:  # what is cut off from a normal distribution
         cov *= part / max(chi2_cdf(chi2_quantile(round(part, 6), P), P + 2), 1e-6)
-    return _model(mean, cov)
+    return _model(rows[0, 1], every, rows[0, 3], mean, cov)
 
 
-def _reweight(rows: np.ndarray) -> list[float]:
+def _reweight(rows: np.ndarray) -> list[list[float]]:
     near = rows[rows[:, 0] < BINS * np.log2(chi2_quantile(0.975, P))]
-    if near[:, 1].sum() < P + 1:
+    if near[:, 2].sum() < P + 1:
         near = rows
-    return _moments(near, 0.975)
+    return [_moments(near, 0.975, rows[:, 2].sum())]
 
 
-def distance(prefix: str) -> F.Column:
-    d = [F.col(prefix + n) - F.col(f"m{i}") for i, n in enumerate(NAMES)]
-    return sum((d[i] * d[j] * F.col(f"v{i}_{j}") * (1 if i == j else 2) for i, j in PAIRS), F.lit(0.0))
+def distance(x: list[str]) -> F.Column:
+    d = [F.col(n) - F.col(m) for n, m in zip(x, MEAN, strict=True)]
+    return sum((d[i] * d[j] * F.col(v) * (1 if i == j else 2) for (i, j), v in zip(PAIRS, INVERSE, strict=True)), F.lit(0.0))
 
 
-def outliers(table: DataFrame, text_col: str, lang_col: str, source_col: str, keep: list[str], prefix: str) -> DataFrame:
-    """keep's columns, the statistics, and the squared distance and whether it is kept (prefix + distance, keep)."""
-    common.ready(table.sparkSession)
-    lang, source, g = (f"__satchel_{x}" for x in ("lang", "source", "g"))
-    wide = vectors(table, text_col, keep, prefix)
-    wide = wide.withColumn(lang, F.col(lang_col).cast("string")).withColumn(source, F.col(source_col).cast("string"))
-    x = [prefix + n for n in NAMES]
-    numbers, _ = common.scratch(wide.select(lang, source, *x).filter(F.col(x[0]).isNotNull()), "vectors")
-    # a group for each language and source, or pooled
-    sizes = numbers.groupBy(lang, source).count()
-    small = F.sum(F.when(F.col("count") < MIN_GROUP, F.col("count"))).over(Window.partitionBy(lang))
+def estimate(numbers: DataFrame) -> DataFrame:
+    """The estimates of (lang, source, word_length, ...), null statistics aside: (lang, source, m0, ..., v0_0, ...), a row for each
+    language and source."""
+    spark = numbers.sparkSession
     label = lambda *c: F.to_json(F.array(*c), {"ignoreNullFields": "false"})
-    groups = sizes.select(lang, source, F.when(F.col("count") >= MIN_GROUP, label(lang, source)).when(small >= MIN_GROUP, label(lang)).otherwise("[]").alias(g))
-    groups, _ = common.scratch(groups, "groups")
-
-    def grouped(t: DataFrame) -> DataFrame:
-        other = groups.select(F.col(lang).alias("__l"), F.col(source).alias("__s"), g)
-        return t.join(other, t[lang].eqNullSafe(other["__l"]) & t[source].eqNullSafe(other["__s"]), "left").drop("__l", "__s")
-
-    own = grouped(numbers).select(F.col(g).alias("g"), *x)
-    fine = own.select("g", F.posexplode(F.array(*x)).alias("i", "x")).groupBy("g", "i", F.floor(F.col("x") * FINE).alias("b")).count()
-    model, path = common.scratch(_by_group(fine, _start, MODEL), "model")
-    for step in [*[_concentrate(SHARE)] * STEPS, _reweight]:
-        measured = own.join(model, "g").select("g", *x, F.floor(F.log2(F.greatest(distance(prefix), F.lit(1e-6))) * BINS).alias("b"))
-        sums = measured.groupBy("g", "b").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{k}") for k, c in enumerate(x)), *(F.sum(F.col(x[i]) * F.col(x[j])).alias(f"p{i}_{j}") for i, j in PAIRS))
-        after, next_path = common.scratch(_by_group(sums, step, MODEL), "model")
-        common.drop(table.sparkSession, path)
-        model, path = after, next_path
-    d = F.when(F.col(x[0]).isNotNull(), F.round(distance(prefix), 6))
-    final = grouped(wide).join(model.withColumnRenamed("g", g), g, "left")
-    return final.select(*keep, *x, d.alias(prefix + "distance"), F.coalesce(d <= FAR, F.lit(False)).alias(prefix + "keep"))
+    # every document counts in its group, its language, and all
+    own = numbers.filter(F.col(NAMES[0]).isNotNull()).select(F.explode(F.array(label("lang", "source"), label("lang"), F.lit("[]"))).alias("g"), *NAMES)
+    fine = own.select("g", F.posexplode(F.array(*NAMES)).alias("i", "x")).groupBy("g", "i", F.floor(F.col("x") * FINE).alias("b")).count()
+    middle, middle_path = common.scratch(_by_group(fine, ["g"], _medians, MODEL), "middle")
+    scaled = own.join(middle.select("g", *MEAN, *(F.sqrt(F.greatest(F.col(f"c{i}_{i}"), F.lit(FLOOR**2))).alias(f"s{i}") for i in range(P))), "g")
+    z = [(F.col(x) - F.col(m)) / F.col(f"s{i}") for i, (x, m) in enumerate(zip(NAMES, MEAN, strict=True))]
+    norm = F.greatest(F.sqrt(sum((c * c for c in z), F.lit(0.0))), F.lit(1e-9))
+    h, u = [F.tanh(c) for c in z], [c / norm for c in z]
+    first = lambda c: F.min(c).alias(c)
+    sums = scaled.groupBy("g").agg(
+        F.lit(0.0).alias("zero"), F.count("*").alias("n"), *(first(m) for m in MEAN), *(first(f"s{i}") for i in range(P)),
+        *(F.sum(c).alias(f"h{i}") for i, c in enumerate(h)), *(F.sum(h[i] * h[j]).alias(f"h{i}_{j}") for i, j in PAIRS), *(F.sum(u[i] * u[j]).alias(f"u{i}_{j}") for i, j in PAIRS),
+    )
+    model, path = common.scratch(_by_group(sums, ["g"], _starts, MODEL), "model")
+    common.drop(spark, middle_path)
+
+    def step(model: DataFrame, path: str, function) -> tuple[DataFrame, str]:
+        measured = own.join(model, "g").select("g", "start", "det", *NAMES, F.floor(F.log2(F.greatest(distance(list(NAMES)), F.lit(1e-6))) * BINS).alias("b"))
+        sums = measured.groupBy("g", "start", "b").agg(F.count("*").alias("n"), F.max("det").alias("old"), *(F.sum(x).alias(f"s{k}") for k, x in enumerate(NAMES)), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}_{j}") for i, j in PAIRS))
+        sums = sums.select(F.concat_ws("#", "g", F.col("start").cast("int")).alias("key"), "b", "start", "n", "old", *sums.columns[5:], "g")
+        new = _by_group(sums.drop("g"), ["key"], function, MODEL).withColumn("g", F.regexp_extract("key", "(?s)^(.*)#", 1)).select("g", *MODEL)
+        after, next_path = common.scratch(new, "model")
+        common.drop(spark, path)
+        return after, next_path
+
+    for done in range(STEPS):
+        model, path = step(model, path, _concentrate(SHARE))
+        if done < 2:
+            continue
+        fall = model.agg(F.max(F.col("old") - F.col("det"))).first()[0]
+        if fall is None or fall < FALL:
+            break
+    best = model.groupBy("g").agg(F.min(F.struct("det", *(c for c in MODEL if c != "det"))).alias("b")).select("g", "b.*")
+    model, path = step(best.select("g", *MODEL), path, _reweight)
+    # each drawn towards the wider one
+    groups = numbers.select("lang", "source").distinct()
+    wide = groups.withColumns({"own_g": label("lang", "source"), "lang_g": label("lang"), "all_g": F.lit("[]")})
+    for name in ("own", "lang", "all"):
+        of = model.select(F.col("g").alias(f"{name}_g"), F.struct("n", F.array(*MEAN).alias("m"), F.array(*SCATTER).alias("c")).alias(f"of_{name}"))
+        wide = wide.join(of, f"{name}_g", "left")
+    return _drawn(wide)
+
+
+def _drawn(wide: DataFrame) -> DataFrame:
+    """(lang, source, m0, ..., v0_0, ...) from each group's own estimate, its language's and that of all."""
+    schema = wide.select("lang", "source").schema
+    from pyspark.sql.types import DoubleType
+
+    for name in (*MEAN, *INVERSE):
+        schema = schema.add(name, DoubleType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for own, lang, every in zip(*(batch.column(c).to_pylist() for c in ("of_own", "of_lang", "of_all")), strict=True):
+                if own is None:
+                    out.append([None] * (P + len(PAIRS)))
+                    continue
+                mean, cov = np.array(every["m"]), np.array(every["c"])
+                for x in (lang, own):
+                    w = x["n"] / (x["n"] + SHRINK)
+                    mean, cov = w * np.array(x["m"]) + (1 - w) * mean, w * np.array(x["c"]) + (1 - w) * cov
+                inverse = np.linalg.inv(_full(cov) + np.eye(P) * FLOOR**2)
+                out.append([*mean.tolist(), *(float(inverse[i, j]) for i, j in PAIRS)])
+            yield pa.record_batch([batch.column("lang"), batch.column("source"), *(pa.array([r[k] for r in out], pa.float64()) for k in range(P + len(PAIRS)))], names=schema.names)
+
+    return wide.select("lang", "source", "of_own", "of_lang", "of_all").mapInArrow(run, schema)
+
+
+def judged(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """rows (lang, source, word_length, ...) with the squared distance and whether it is kept."""
+    own = model.select(F.col("lang").alias("model_lang"), F.col("source").alias("model_source"), *MEAN, *INVERSE)
+    joined = rows.join(own, rows["lang"].eqNullSafe(own["model_lang"]) & rows["source"].eqNullSafe(own["model_source"]), "left")
+    d = F.when(F.col(NAMES[0]).isNotNull(), F.round(distance(list(NAMES)), 6))
+    return joined.select(*rows.columns, d.alias("distance"), F.coalesce(d <= FAR, F.lit(False)).alias("keep"))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -240,12 +343,18 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     A text without words (null, empty, blank) has null statistics and isn't kept. A null lang or source is a group of its own.
     Repeated rows count as often as they are given; null ids are kept as they are. Other columns, whatever their names, are
-    ignored. An empty table gives an empty result."""
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    return outliers(kept, "text", "lang", "source", ["doc_id", "lang", "source"], "")
+    ignored. An empty table gives an empty result. Each text is read once."""
+    common.ready(docs.sparkSession)
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    numbers, _ = common.scratch(vectors(kept, "text"), "statistics")
+    return judged(numbers, estimate(numbers))
 
 
 def keep_usual(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """docs without the rows that assess() doesn't keep; all columns stay."""
-    marked = outliers(docs, text_col, lang_col, source_col, docs.columns, "__satchel_")
-    return marked.filter("__satchel_keep").select(docs.columns)
+    """docs without the rows that assess() doesn't keep; all columns stay, whatever their names. The statistics are computed
+    twice, for the estimates and for the decisions: cheaper than writing or shuffling whole texts."""
+    common.ready(docs.sparkSession)
+    lang, source = F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source")
+    numbers, _ = common.scratch(vectors(docs.select(lang, source, F.col(text_col).alias("text")), "text"), "statistics")
+    wide = vectors(docs.select(common.whole(docs), lang, source), "row", text_col)
+    return judged(wide, estimate(numbers)).filter("keep").select("row.*")

@@ -218,7 +218,7 @@ def test_chi_square():
     assert quality.chi2_cdf(3.0, 2) == pytest.approx(1 - np.exp(-1.5))
 
 
-def test_robust_scatter_ignores_outliers():
+def test_concentration_ignores_outliers():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, quality.P)) * 0.2 + 1
     x[:400] += 3
@@ -226,9 +226,10 @@ def test_robust_scatter_ignores_outliers():
     bins = np.floor(quality.BINS * np.log2(np.maximum(((x - np.median(x, 0)) ** 2).sum(1), 1e-6)))
     for b in np.unique(bins):
         own = x[bins == b]
-        rows.append([b, len(own), *own.sum(0), *((own[:, i] * own[:, j]).sum() for i, j in quality.PAIRS)])
-    got = quality._concentrate(0.75)(np.array(rows))
-    assert np.abs(np.array(got[: quality.P]) - 1).max() < 0.05
+        rows.append([b, 0, len(own), 0, *own.sum(0), *((own[:, i] * own[:, j]).sum() for i, j in quality.PAIRS)])
+    got = dict(zip(quality.MODEL, quality._concentrate(0.75)(np.array(rows))[0], strict=True))
+    assert got["n"] == 4000 and max(abs(got[m] - 1) for m in quality.MEAN) < 0.05
+    assert got["det"] == pytest.approx(quality.P * np.log(0.04), abs=0.5)
 
 
 def plain_features(text):

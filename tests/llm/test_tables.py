@@ -148,6 +148,73 @@ def test_quality(spark, hard):
     assert quality.assess(empty(spark)).count() == quality.keep_usual(empty(spark)).count() == 0
 
 
+def plain_mcd(x, share=quality.SHARE, tries=200):
+    """Location and scatter by the minimum covariance determinant with many random starts, then reweighted."""
+    rng = np.random.default_rng(0)
+    n, p = x.shape
+    h = math.ceil(share * n)
+    best = None
+    for _ in range(tries):
+        own = rng.choice(n, p + 1, False)
+        old = None
+        while True:
+            mean, cov = x[own].mean(0), np.cov(x[own].T, bias=True) + np.eye(p) * 1e-9
+            d = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(1)
+            own = np.argsort(d, kind="stable")[:h]
+            det = np.linalg.slogdet(np.cov(x[own].T, bias=True))[1]
+            if old is not None and det >= old - 1e-9:
+                break
+            old = det
+        if best is None or det < best[0]:
+            best = (det, own)
+    own = best[1]
+    factor = lambda q: q / quality.chi2_cdf(quality.chi2_quantile(q, p), p + 2)
+    mean, cov = x[own].mean(0), np.cov(x[own].T, bias=True) * factor(share)
+    d = ((x - mean) @ np.linalg.inv(cov) * (x - mean)).sum(1)
+    own = d < quality.chi2_quantile(0.975, p)
+    return x[own].mean(0), np.cov(x[own].T, bias=True) * factor(0.975)
+
+
+def test_quality_estimate_is_the_plain_mcd(spark):
+    rng = np.random.default_rng(4)
+    mix = np.linalg.cholesky(np.eye(5) * 0.5 + 0.5) * 0.1
+    parts = {}
+    for name, n in (("a", 3000), ("b", 1500)):
+        x = rng.normal(size=(n, 5)) @ mix.T + (1 if name == "a" else 2)
+        x[: n // 6] = rng.normal(size=(n // 6, 5)) * 0.02 + np.array([2.2, 0.4, 1.9, 0.3, 1.0])  # a tight cluster of others
+        parts[name] = x
+    rows = [("xx", name, *map(float, r)) for name, x in parts.items() for r in x]
+    table = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{n} double" for n in quality.NAMES))
+    shrink, quality.SHRINK = quality.SHRINK, 0.0
+    try:
+        got = {r.source: r for r in quality.estimate(table).collect()}
+    finally:
+        quality.SHRINK = shrink
+    for name, x in parts.items():
+        mean, cov = plain_mcd(x)
+        r = got[name]
+        assert np.abs(np.array([r[m] for m in quality.MEAN]) - mean).max() < 0.01
+        inverse = np.zeros((5, 5))
+        for (i, j), v in zip(quality.PAIRS, quality.INVERSE, strict=True):
+            inverse[i, j] = inverse[j, i] = r[v]
+        d, want = (((x - m) @ v * (x - m)).sum(1) for m, v in ((np.array([r[m] for m in quality.MEAN]), inverse), (mean, np.linalg.inv(cov))))
+        assert np.corrcoef(d, want)[0, 1] > 0.999 and np.median(np.abs(d / want - 1)) < 0.05
+        assert ((d > 50) == (want > 50)).mean() > 0.995 and (d[: len(x) // 6] > 50).all()
+
+
+def test_quality_of_small_groups_is_smooth(spark):
+    """A group's size moves its estimate a little, at whatever size."""
+    rng = random.Random(6)
+    usual = [(i, "en", "s", words(rng, rng.randrange(40, 200)).replace("w", "word")) for i in range(300)]
+    few = [(1000 + i, "en", "small", words(rng, rng.randrange(40, 200)).replace("w", "vo").upper()) for i in range(120)]
+    schema = "doc_id bigint, lang string, source string, text string"
+    far = []
+    for n in (60, 61, 120):
+        got = {r.doc_id: r.distance for r in quality.assess(spark.createDataFrame(usual + few[:n], schema)).collect()}
+        far.append(np.median([got[1000 + i] for i in range(60)]))
+    assert far[1] == pytest.approx(far[0], rel=0.2) and far[2] < far[0]
+
+
 def test_quality_of_labelled_documents(spark):
     folder = "/root/testdata/sf0.01"
     keep = {r.doc_id: r.keep for r in QUERIES["op8_quality_rules"](spark, folder).collect()}
