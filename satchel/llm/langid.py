@@ -42,13 +42,9 @@ def letters() -> np.ndarray:
     return out
 
 
-def features(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, log(1 + count)) of a column of texts, in order of the rows."""
-    col = pc.fill_null(arr, "")
-    chars = pc.utf8_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
-    c = letters()[np.frombuffer("".join(col.to_pylist()).encode("utf-32-le"), np.uint32)].astype(np.uint64)
-    row = np.repeat(np.arange(len(arr)), chars)
-    counts = np.zeros(len(arr) << PLACES, np.int64)
+def gram_counts(c: np.ndarray, row: np.ndarray, rows: int, own: int | None = None) -> np.ndarray:
+    """How often each text has each place's grams, texts one after another: those that begin within the first `own` characters."""
+    counts = np.zeros(rows << PLACES, np.int64)
     seed = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
     h, live = np.zeros(len(c), np.uint64), np.zeros(len(c), bool)
     for n in (1, 2, 3):
@@ -58,7 +54,26 @@ def features(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = h[:m] * seed[0] + (c[n - 1 :] + seed[n - 1])
         live = live[:m] | (c[n - 1 :] != 32)
         ok = live if n == 1 else live & (row[:m] == row[n - 1 :])
+        if own is not None and own < m:
+            ok = ok & (np.arange(m) < own)
         counts += np.bincount((row[:m][ok] << PLACES) | (mix(h[ok]) >> np.uint64(64 - PLACES)).astype(np.int64), minlength=len(counts))
+    return counts
+
+
+def features(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, log(1 + count)) of a column of texts, in order of the rows. A long text is counted in windows."""
+    col = pc.fill_null(arr, "")
+    chars = pc.utf8_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
+    size = common.STEP_BYTES // 4
+    points = lambda text: letters()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.uint64)
+    if len(col) == 1 and chars[0] > 4 * size:
+        text = col[0].as_py()
+        counts = np.zeros(1 << PLACES, np.int64)
+        for k in range(0, len(text), size):
+            c = points(text[k : k + size + 2])
+            counts += gram_counts(c, np.zeros(len(c), np.int64), 1, size)
+    else:
+        counts = gram_counts(points("".join(col.to_pylist())), np.repeat(np.arange(len(arr)), chars), len(arr))
     at = np.flatnonzero(counts)
     return at >> PLACES, at & ((1 << PLACES) - 1), np.log1p(counts[at])
 
@@ -179,34 +194,37 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return model
 
 
-def score(table: DataFrame, text_col: str, lang_col: str, model: Model | None, prefix: str, keep: list[str]) -> DataFrame:
-    """keep's columns and, under the prefix, predicted, confidence, declared (the declared language's probability), keep."""
+def score(table: DataFrame, model: Model | None, text: str | None = None) -> DataFrame:
+    """table's columns but `text`, and predicted, confidence, declared (the declared language's probability), keep. The table has
+    `lang`, and the text as its column `text`, or as the field of that name of its column `row`, which stays."""
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
-    schema = StructType([table.schema[c] for c in keep])
+    keep = [f for f in table.schema if f.name != "text"]
+    schema = StructType(list(keep))
     for name, kind in (("predicted", StringType()), ("confidence", DoubleType()), ("declared", DoubleType()), ("keep", BooleanType())):
-        schema = schema.add(prefix + name, kind)
+        schema = schema.add(name, kind)
+    find = lambda part: part.column("row").field(text) if text else part.column("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {x: k for k, x in enumerate(model.languages)} if model else {}
         for batch in batches:
-            for part in common.steps(batch, text_col):
+            for part in common.steps_of(batch, common.lens_of(find(batch))):
                 for s in range(0, len(part), ROWS):
                     own = part.slice(s, ROWS)
                     n = len(own)
                     if model:
-                        logits, has = model.logits(own.column(text_col))
+                        logits, has = model.logits(find(own))
                         p = np.exp(logits - logits.max(1, keepdims=True))
                         p /= p.sum(1, keepdims=True)
                     else:
                         p, has = np.ones((n, 1)), np.zeros(n, bool)
-                    at = np.array([known.get(x, -1) for x in own.column(lang_col).to_pylist()])
+                    at = np.array([known.get(x, -1) for x in own.column("lang").to_pylist()])
                     best = p.argmax(1)
                     declared = np.where(at >= 0, p[np.arange(n), np.maximum(at, 0)], 0.0)
                     names = np.array([*(model.languages if model else []), ""], object)[best]
                     yield pa.record_batch(
                         [
-                            *(own.column(c) for c in keep),
+                            *(own.column(f.name) for f in keep),
                             pa.array([x if y else None for x, y in zip(names, has, strict=True)], pa.string()),
                             pa.array(p.max(1), mask=~has),
                             pa.array(declared, mask=~has | (at < 0)),
@@ -227,12 +245,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     are; other columns, whatever their names, are ignored. An empty table gives an empty result."""
     common.ready(docs.sparkSession)
     model = model or fit(docs, id_col, text_col, lang_col)
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    return score(kept, "text", "lang", model, "", ["doc_id", "lang"])
+    return score(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), model)
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows that identify() doesn't keep; all columns stay."""
+    """docs without the rows that identify() doesn't keep; all columns stay, whatever their names."""
     common.ready(docs.sparkSession)
-    marked = score(docs, text_col, lang_col, fit(docs, id_col, text_col, lang_col), "__satchel_", docs.columns)
-    return marked.filter("__satchel_keep").select(docs.columns)
+    model = fit(docs, id_col, text_col, lang_col)
+    return score(docs.select(common.whole(docs), F.col(lang_col).alias("lang")), model, text_col).filter("keep").select("row.*")

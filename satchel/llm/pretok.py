@@ -25,8 +25,10 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 1 << 21
 #: Characters of pre-tokens that a worker keeps before it starts anew.
 KEPT = 1 << 25
-#: A cut before a lone space between two other characters never divides a pre-token.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Cuts that never divide a pre-token: before a lone blank between two other characters, and after a letter or digit before a
+#: character that is none of these, nor a blank or an apostrophe.
+SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r]\S)|(?<=[^\W_])(?=[^\w\s']|_)")
+
 
 
 @lru_cache(1)

@@ -50,20 +50,21 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, lanes: int = LANES, every: i
     fill = np.full(steps * lanes, int(np.argmax(freq)), np.int64)
     fill[: len(ids)] = ids
     rows = fill.reshape(steps, lanes)
-    f_all, b_all = freq[rows], base[rows]
-    top = f_all << (np.uint64(63) - scale)
     x = np.full(lanes, LOW, np.uint64)
     words: list[np.ndarray] = [np.zeros(0, np.uint32)] * steps
     states = []
-    for t in range(steps - 1, -1, -1):
-        f = f_all[t]
-        over = x >= top[t]
-        words[t] = (x[over] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        x = np.where(over, x >> np.uint64(32), x)
-        q = x // f
-        x = (q << scale) + (x - q * f) + b_all[t]
-        if t % every == 0:
-            states.append(x)
+    for first in range((steps - 1) // every * every, -1, -every):
+        part = rows[first : first + every]
+        f_part, b_part = freq[part], base[part]
+        top = f_part << (np.uint64(63) - scale)
+        for t in range(len(part) - 1, -1, -1):
+            f = f_part[t]
+            over = x >= top[t]
+            words[first + t] = (x[over] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            x = np.where(over, x >> np.uint64(32), x)
+            q = x // f
+            x = (q << scale) + (x - q * f) + b_part[t]
+        states.append(x)
     sizes = np.append(0, np.cumsum([len(w) for w in words]))
     own = ids.astype("<i4")
     sums = [zlib.crc32(own[a : a + every * lanes].tobytes()) for a in range(0, len(ids), every * lanes)]
@@ -107,14 +108,13 @@ def compress(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
     """All documents' tokens as blocks, and one row of kind 'table' whose stream holds the shared frequencies (uint32).
 
     doc_ids and doc_tokens list a block's documents in the order of their tokens; a null text has -1 tokens, an empty one 0.
-    Null ids and repeated rows are kept as they are; a document longer than a block makes a longer block. Other columns,
-    whatever their names, are ignored. An empty table gives the table row alone, with equal frequencies."""
+    Null ids and repeated rows are kept as they are; a document longer than a block makes a longer block. Ids must be
+    integers. Other columns, whatever their names, are ignored. An empty table gives the table row alone, with equal frequencies."""
     spark = docs.sparkSession
     common.ready(spark)
     path = path or default_path()
     size = len(ranks(path))
-    if size > 1 << 16:
-        raise ValueError("ids are kept as 16-bit numbers")
+    width = "<u2" if size <= 1 << 16 else "<u4"  # of an id between the two passes
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = rank_encoder(path)
@@ -125,20 +125,20 @@ def compress(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
                 ids, n = own.encode(text)
                 seen += np.bincount(ids, minlength=size)
                 null = pc.is_null(text).to_numpy(zero_copy_only=False)
-                edge = np.append(0, np.cumsum(n)).astype(np.int32) * 2
-                held = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edge), pa.py_buffer(ids.astype("<u2"))])
+                edge = np.append(0, np.cumsum(n)).astype(np.int32) * np.dtype(width).itemsize
+                held = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(edge), pa.py_buffer(ids.astype(width))])
                 yield pa.record_batch([part.column("doc_id"), pa.array(np.where(null, -1, n).astype(np.int32)), held, pa.nulls(len(n), pa.list_(pa.int32())), pa.nulls(len(n), pa.list_(pa.int64()))], names=["doc_id", "n", "ids", "symbols", "counts"])
         some = np.flatnonzero(seen)
         if len(some):
             yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([some.astype(np.int32)]), pa.array([seen[some]])], names=["doc_id", "n", "ids", "symbols", "counts"])
 
-    kept = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    kept = docs.select(common.integer(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table, _ = common.scratch(kept.mapInArrow(tokens, "doc_id bigint, n int, ids binary, symbols array<int>, counts array<bigint>"), "tokens")
     pairs = table.filter("symbols is not null").select(F.explode(F.arrays_zip("symbols", "counts")).alias("z"))
     counts = np.zeros(size, np.int64)
     for r in pairs.groupBy("z.symbols").agg(F.sum("z.counts").alias("c")).collect():  # at most the vocabulary
         counts[r[0]] = r[1]
-    freq = table_of(counts)
+    freq = table_of(counts, max(SCALE, size.bit_length() + 3))
     table_sum = zlib.crc32(freq.tobytes())
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +147,7 @@ def compress(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", t
 
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            ids = np.concatenate([np.frombuffer(x or b"", "<u2") for x in t.column("ids").to_pylist()]).astype(np.int64)
+            ids = np.concatenate([np.frombuffer(x or b"", width) for x in t.column("ids").to_pylist()]).astype(np.int64)
             stream, states, starts, sums = encode_block(ids, freq)
             row = {"kind": "block", "doc_ids": t.column("doc_id").to_pylist(), "doc_tokens": t.column("n").to_pylist(), "n_tokens": len(ids), "stream": stream, "states": states, "starts": starts, "checksums": sums, "checksum": zlib.crc32(stream), "table_checksum": table_sum}
             return pa.RecordBatch.from_pylist([row], schema=ARROW)
@@ -182,14 +182,18 @@ def expand(blocks: DataFrame) -> DataFrame:
     null text."""
     spark = blocks.sparkSession
     common.ready(spark)
-    row = blocks.filter("kind = 'table'").select("stream").first()
-    freq = np.frombuffer(row[0], "<u4")
+    row = blocks.filter("kind = 'table'").select("stream", "table_checksum").first()
+    freq, table_sum = np.frombuffer(row[0], "<u4"), row[1]
+    if zlib.crc32(row[0]) != table_sum:
+        raise ValueError("damaged table")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.to_pylist():
                 if zlib.crc32(b["stream"]) != b["checksum"]:
                     raise ValueError("damaged stream")
+                if b["table_checksum"] != table_sum:
+                    raise ValueError("a block of another table")
                 ids = decode_block(b["n_tokens"], b["stream"], b["states"], b["starts"], b["checksums"], freq)
                 n = np.array(b["doc_tokens"])
                 yield pa.record_batch([pa.array(b["doc_ids"], pa.int64()), common.ragged(pa.array(ids.astype(np.int32)), np.maximum(n, 0), n < 0)], names=["doc_id", "token_ids"])

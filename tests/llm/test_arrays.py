@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,8 @@ def test_safe_cuts():
     assert [i for p in pieces for i in enc(p)] == enc(text)
     batches = list(token_count.balanced(["a b " * 200, "x", "", text], 500))
     assert max(sum(map(len, held)) for _, held in batches) < 700
+    wide = list(token_count.balanced(["東京 " * 300, "x", "é à " * 200], 500))
+    assert max(sum(len(t.encode()) for t in held) for _, held in wide) < 700 and len(wide) > 6
     back = {}
     for rows, held in batches:
         for r, p in zip(rows, held, strict=True):
@@ -368,3 +371,98 @@ def test_split_placeholder_and_many_blanks():
     v = chat.flatten('[{"type":"text","text":"<"},{"type":"text","text":"|image:0|>"}]')
     assert "".join(v.out) == "<||image:0|>" and not v.attachments
     assert chat.flatten(" " * 10_000 + '[{"type":"image","url":"u"}]').attachments == [(0, "image", "u", chat.UNKNOWN)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab's_!. \n\t\r1é東。\x1c\u00a0"), max_size=40))
+def test_cuts_are_safe_anywhere(text):
+    enc = pretok.tiktoken_of(pretok.default_path()).encode_ordinary
+    assert [i for p in pretok.pieces_of(text, 1) for i in enc(p)] == enc(text)
+
+
+def test_very_long_texts_are_the_plain_ones():
+    rng = random.Random(12)
+    prose = " ".join(f"word{rng.randrange(10**6)}" for _ in range(450_000))  # some 5 MB
+    chinese = "".join(rng.choice("東京大阪日本語文字。") for _ in range(400_000))
+    path = pretok.default_path()
+    plain = pretok.tiktoken_of(path).encode_ordinary
+    for text in (prose, chinese, prose[:2_000_000].replace(" ", "\t"), "{" + prose[:2_000_000].replace(" ", ",") + "}"):
+        want = plain(text)
+        for encoder in (pretok.rank_encoder(path), bpe.encoder(path)):
+            ids, n = encoder.encode(pa.array([text]))
+            assert n.tolist() == [len(want)] and ids.tolist() == want
+        assert sum(len(plain(t)) for _, held in token_count.balanced([text], token_count.BATCH) for t in held) == len(want)
+
+
+def test_long_texts_count_in_windows():
+    rng = random.Random(13)
+    text = " ".join(rng.choice(["Größe", "12", "a-b", "x!", "NASA", f"w{rng.randrange(9999)}"]) for _ in range(500_000))
+    assert len(text.encode()) > 2 * common.STEP_BYTES
+    step, common.STEP_BYTES = common.STEP_BYTES, 1 << 40
+    try:
+        want = [quality.statistics(pa.array([text]))[0], langid.features(pa.array([text])), simhash.signatures(pa.array([text]))[0]]
+    finally:
+        common.STEP_BYTES = step
+    assert np.allclose(quality.statistics(pa.array([text]))[0], want[0])
+    for got, x in zip(langid.features(pa.array([text])), want[1], strict=True):
+        assert np.array_equal(got, x)
+    assert np.array_equal(simhash.signatures(pa.array([text]))[0], want[2])
+
+
+def test_features_are_the_plain_ones_place_by_place():
+    mask, seeds = (1 << 64) - 1, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+    def place(gram):
+        h = 0
+        for k, c in enumerate(gram):
+            h = (h * seeds[0] + ord(c) + seeds[k]) & mask
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = ((h ^ (h >> shift)) * by) & mask
+        return (h ^ (h >> 31)) >> (64 - langid.PLACES)
+
+    texts = ["Ab ab", "x1y", "", "Größe, groß: größer!", "東京 tokyo"]
+    row, at, v = langid.features(pa.array(texts))
+    for r, t in enumerate(texts):
+        want = {}
+        for gram, n in plain_features(t).items():
+            want[place(gram)] = want.get(place(gram), 0) + n
+        mine = row == r
+        assert dict(zip(at[mine].tolist(), np.expm1(v[mine]).round().astype(int).tolist(), strict=True)) == want
+
+
+def plain_ftrl(rows, label, classes, places, alpha=1.0, beta=1.0, l1=0.02, l2=0.02, epochs=3):
+    """One coordinate after the other, as the method is written down."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i, k):
+        a, b = (l1, l2) if i != places else (0.0, 0.0)
+        if abs(z[i, k]) <= a:
+            return 0.0
+        return -(z[i, k] - math.copysign(a, z[i, k])) / ((beta + math.sqrt(n[i, k])) / alpha + b)
+
+    rng = np.random.default_rng(5)
+    for _ in range(epochs):
+        for r in rng.permutation(len(label)):
+            x = [*rows[r], (places, 1.0)]
+            w = {(i, k): weight(i, k) for i, _ in x for k in range(classes)}
+            s = [sum(w[i, k] * v for i, v in x) for k in range(classes)]
+            e = [math.exp(a - max(s)) for a in s]
+            for i, v in x:
+                for k in range(classes):
+                    g = v * (e[k] / sum(e) - (k == label[r]))
+                    sigma = (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / alpha
+                    z[i, k] += g - sigma * w[i, k]
+                    n[i, k] += g * g
+    return weight
+
+
+def test_ftrl_is_the_plain_one():
+    rng = np.random.default_rng(8)
+    label = rng.integers(0, 3, 60)
+    rows = [[(int(p), float(v)) for p, v in zip(sorted(rng.choice(40, 5, False)), rng.random(5), strict=True)] for _ in label]
+    weight = plain_ftrl(rows, label, 3, 1 << langid.PLACES)
+    flat = [(r, p, v) for r, own in enumerate(rows) for p, v in own]
+    row, place, v = (np.array(x) for x in zip(*flat, strict=True))
+    w, b = langid.train(row, place, v, label, 3)
+    assert np.allclose(w[:40], [[weight(i, k) for k in range(3)] for i in range(40)]) and np.allclose(b, [weight(1 << langid.PLACES, k) for k in range(3)])
+    assert not w[40:].any()

@@ -1,5 +1,6 @@
 """The operators over tables: brute force, hard cases, the pipeline."""
 
+import base64
 import math
 import random
 from collections import defaultdict
@@ -7,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -66,10 +68,37 @@ def test_rans_blocks(spark, hard):
     got = rans.compress(hard, block=5000).cache()
     want = sorted(str((r.doc_id, r.token_ids)) for r in bpe.encode(hard).collect())
     assert sorted(str((r.doc_id, r.token_ids)) for r in rans.expand(got).collect()) == want
+    bad = got.withColumn("table_checksum", F.when(F.col("kind") == "block", F.col("table_checksum") + 1).otherwise(F.col("table_checksum")))
+    with pytest.raises(PythonException, match="another table"):
+        rans.expand(bad).count()
     none = rans.compress(empty(spark))
     assert [r.kind for r in none.collect()] == ["table"] and rans.expand(none).count() == 0
 
 
+def test_rans_blocks_of_a_large_vocabulary(spark, tmp_path):
+    path = tmp_path / "ranks"  # all bytes and all pairs of them: more than 16 bits
+    tokens = [bytes([a]) for a in range(256)] + sorted((bytes([a, b]) for a in range(256) for b in range(256)), key=lambda t: t.isalpha())
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(tokens)))
+    table = docs(spark, [(1, "what is said"), (2, "\u00ff\u00fe more, and more \U0001f642"), (3, "")])
+    got = rans.compress(table, str(path))
+    want = {r.doc_id: r.token_ids for r in bpe.encode(table, str(path)).collect()}
+    assert max(map(max, filter(None, want.values()))) > 1 << 16
+    assert {r.doc_id: r.token_ids for r in rans.expand(got).collect()} == want
+
+
+@pytest.mark.parametrize("stage", ["language_id", "quality_rules", "near_dedup", "passage_dedup"])
+def test_stages_keep_columns_of_any_name(spark, stage):
+    rng = random.Random(14)
+    rows = [(i, words(rng, 80), "en", "s", 1, "dotted", 2.0, "r", 3, [4], None) for i in range(30)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, `a.b` string, m0 double, row string, doc int, spans array<int>, `v0_0` string"
+    table = spark.createDataFrame(rows + rows[:1], schema)
+    out = dict(corpus_pipeline.STAGES)[stage](spark, table, DATA)
+    assert out.schema.simpleString() == table.schema.simpleString()
+    assert out.filter("`a.b` = 'dotted' and m0 = 2 and row = 'r' and doc = 3 and spans[0] = 4").count() == out.count() >= 29
+    with pytest.raises(ValueError, match="integer"):
+        simhash.keep_one(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_language_id(spark, hard):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(table).collect()
