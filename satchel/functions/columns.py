@@ -58,28 +58,54 @@ def typed(payload: Column, key: str, kind: str) -> Column:
     return F.when(F.schema_of_variant(field) == {"string": "STRING", "bigint": "BIGINT"}[kind], F.try_variant_get(F.try_parse_json(payload), f"$.{key}", kind))
 
 
+def mistyped(payload: Column, key: str) -> Column:
+    """Whether a field is there and isn't a string."""
+    field = F.try_variant_get(F.try_parse_json(payload), f"$.{key}", "variant")
+    return F.coalesce(field.isNotNull() & (F.schema_of_variant(field) != "STRING"), F.lit(False))
+
+
+def payload_flags(payload: Column) -> Column:
+    """A payload's flag set as JSON: what isn't a string is left out; without an array the set is empty."""
+    held = F.try_variant_get(F.try_parse_json(payload), "$.flags", "array<variant>")
+    strings = F.transform(F.filter(held, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    return flags_encode(strings)
+
+
+def payload_meta(payload: Column) -> Column:
+    """A payload's summary: a string as it is, anything else as JSON."""
+    field = F.try_variant_get(F.try_parse_json(payload), "$.meta", "variant")
+    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(F.try_parse_json(payload), "$.meta", "string")).otherwise(F.to_json(field))
+
+
 def payload_decode(action: Column, payload: Column) -> Column:
-    """(kind, seq, to, object, error): error is null for a payload that can be applied or a kind that isn't known."""
+    """(kind, seq, to, object, link_id, handle, error): error is null for a payload that can be applied, or that is well formed
+    and of a kind that isn't known."""
     parsed = F.try_parse_json(payload)
     is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT"), F.lit(False))
     version = typed(payload, "v", "bigint")
-    seq, to, body = typed(payload, "seq", "bigint"), typed(payload, "to", "string"), typed(payload, "object", "string")
+    seq, to, body, link, handle = typed(payload, "seq", "bigint"), *(typed(payload, k, "string") for k in ("to", "object", "link_id", "handle"))
     known = action.isin(*KINDS)
     error = (
-        F.when(~known, F.lit(None).cast("string"))
-        .when(~is_object, "malformed payload")
+        F.when(~is_object, "malformed payload")
         .when(version.isNull() | (version != 1), "unsupported version")
-        .when((action != "add") & seq.isNull(), "missing field: seq")
+        .when(known & (action != "add") & seq.isNull(), "missing field: seq")
         .when(action.isin("move", "copy") & to.isNull(), "missing field: to")
         .when((action == "update") & body.isNull(), "missing field: object")
+        .when((action == "add") & mistyped(payload, "link_id"), "missing field: link_id")
+        .when(((action == "add") | ~known) & mistyped(payload, "object"), "missing field: object")
+        .when((action == "add") & mistyped(payload, "handle"), "missing field: handle")
     )
-    return F.struct(F.when(known, action).otherwise("unknown").alias("kind"), seq.alias("seq"), to.alias("to"), body.alias("object"), error.alias("error"))
+    return F.struct(F.when(known, action).otherwise("unknown").alias("kind"), seq.alias("seq"), to.alias("to"), body.alias("object"), link.alias("link_id"), handle.alias("handle"), error.alias("error"))
 
 
-def payload_encode(seq: Column, to: Column | None = None, flags: Column | None = None, body: Column | None = None) -> Column:
-    """A version-1 payload; what isn't given or is null is left out."""
-    named = {"seq": seq, "to": to, "flags": flags, "object": body}
-    return F.to_json(F.struct(F.lit(1).alias("v"), *(c.alias(k) for k, c in named.items() if c is not None)))
+def payload_encode(seq: Column | None = None, to: Column | None = None, flags: Column | None = None, body: Column | None = None, link: Column | None = None, meta: Column | None = None, handle: Column | None = None) -> Column:
+    """A version-1 payload; what isn't given or is null is left out. A summary that is JSON is embedded as such."""
+    value = None if meta is None else F.when(F.try_parse_json(meta).isNotNull(), F.to_json(F.try_parse_json(meta))).when(meta.isNotNull(), F.regexp_extract(F.to_json(F.array(meta)), r"(?s)^\[(.*)\]$", 1))
+    named = {"seq": seq, "to": to, "link_id": link, "flags": flags, "object": body, "handle": handle}
+    own = F.to_json(F.struct(F.lit(1).alias("v"), *(c.alias(k) for k, c in named.items() if c is not None)))
+    if value is None:
+        return own
+    return F.when(value.isNull(), own).otherwise(F.concat(F.substring(own, F.lit(1), F.length(own) - 1), F.lit(',"meta":'), value, F.lit("}")))
 
 
 def action_summary(action: Column, payload: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from satchel.operators.reads import retained
+from satchel.sources import session
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
@@ -98,6 +99,12 @@ def purge_one(items: DataFrame, collection: str, seq: int) -> DataFrame:
     return items.filter(~((F.col("collection") == collection) & (F.col("seq") == seq) & retained()))
 
 
+def purge_each(items: DataFrame, which: DataFrame) -> DataFrame:
+    """items without the retained ones of `which` (collection, seq)."""
+    hit = items.filter(retained()).select("collection", "seq").join(which.select("collection", "seq").distinct(), ["collection", "seq"], "left_semi").withColumn("__gone", F.lit(True))
+    return items.join(hit, ["collection", "seq"], "left").filter(~retained() | F.col("__gone").isNull()).select(items.columns)
+
+
 def purge_before(items: DataFrame, cutoff: str) -> DataFrame:
     return items.filter(~retained() | (F.col("retained_at") >= cutoff))
 
@@ -113,19 +120,36 @@ def purge_report(before: DataFrame, after: DataFrame, objects: DataFrame, others
     return gone.agg(F.count("*").alias("items")).crossJoin(freed)
 
 
+def numbered(rows: DataFrame, order: list[str], first: int, name: str) -> DataFrame:
+    """rows with the column `name`: first, first + 1, ... in the order of columns that tell all rows apart. Rows are sorted by ranges
+    and written; each range then counts on from those before it, so no task sorts all rows."""
+    placed = session.written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part, within = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    starts, total = {}, first
+    for r in placed.groupBy(part.alias("p")).count().orderBy("p").collect():  # a row for each range
+        starts[r.p] = total
+        total += r["count"]
+    if not starts:
+        return placed.withColumn(name, F.col("__at")).drop("__at")
+    return placed.withColumn(name, F.element_at(F.create_map(*(F.lit(x) for p in starts.items() for x in p)), part).cast("bigint") + within).drop("__at")
+
+
 def allocate_seq(rows: DataFrame, items: DataFrame, next_seq: int) -> DataFrame:
     """seq for new (collection, link_id): that of the link if it is known anywhere, else the next, in order of each link's
-    first (collection, link_id). The window runs over distinct new links alone."""
-    known = items.groupBy("link_id").agg(F.min("seq").alias("known"))
+    first (collection, link_id). items needs link_id and seq alone."""
+    links = rows.select("link_id").distinct()
+    known = items.join(links, "link_id", "left_semi").groupBy("link_id").agg(F.min("seq").alias("known"))
     new = rows.select("collection", "link_id").join(known.select("link_id"), "link_id", "left_anti").groupBy("link_id").agg(F.min("collection").alias("first"))
-    numbered = new.withColumn("fresh", F.row_number().over(Window.orderBy("first", "link_id")) + F.lit(next_seq - 1).cast("bigint")).select("link_id", "fresh")
-    return rows.join(known, "link_id", "left").join(numbered, "link_id", "left").withColumn("seq", F.coalesce("known", "fresh")).drop("known", "fresh")
+    fresh = numbered(new, ["first", "link_id"], next_seq, "fresh").select("link_id", "fresh")
+    return rows.join(known, "link_id", "left").join(fresh, "link_id", "left").withColumn("seq", F.coalesce("known", "fresh")).drop("known", "fresh")
 
 
 def enqueue(queue: DataFrame, rows: DataFrame, first_id: int) -> DataFrame:
-    """rows (created_at, producer, collection, action, payload, object_hash) after the queue's rows, in order of created_at."""
-    n = F.row_number().over(Window.orderBy("created_at", "producer", "payload")).cast("bigint") + F.lit(first_id - 1)
-    return queue.unionByName(rows.withColumns({"id": n, "attempts": F.lit(0), "error": F.lit(None).cast("string")}).select(queue.columns))
+    """rows (created_at, producer, collection, action, payload, object_hash) after the queue's rows, in order of created_at, then
+    of the other columns."""
+    order = ["created_at", "producer", "payload", "collection", "action", "object_hash"]
+    more = numbered(rows, [*order], first_id, "id").withColumns({"attempts": F.lit(0), "error": F.lit(None).cast("string")})
+    return queue.unionByName(more.select(queue.columns))
 
 
 def cancel(queue: DataFrame, ids: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from satchel.functions import columns as C
 from satchel.operators import changes
 from satchel.operators.reads import retained
 
@@ -25,19 +26,40 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, KEYS, "full_outer").select(*KEYS, change.alias("change")).filter("change is not null")
 
 
-def write_batch(tables: dict[str, DataFrame], ops: DataFrame, now: str) -> dict[str, DataFrame]:
+def project(tables: dict[str, DataFrame], source: str) -> DataFrame:
+    """What a source sees: a placement for each item, with a status. A bound item that is deleted is a tombstone; a live one is a
+    conflict, or clean if it equals its base, created if it has none, dirty otherwise. A live item that the source isn't bound to is
+    created, without a handle, if its body is there. Retained items, and others' tombstones, aren't seen."""
+    own = tables["bindings"].filter(F.col("source") == source).withColumnRenamed("conflicted", "bound").drop("source")
+    rows = tables["items"].filter(~retained()).drop("conflicted").join(own, KEYS, "left")
+    bound, live = F.col("bound").isNotNull(), F.col("deleted") == 0
+    base = F.coalesce("base_flags", "base_object", "base_revision").isNotNull()
+    same = C.flags_decode(F.col("flags")).eqNullSafe(C.flags_decode(F.col("base_flags"))) & F.col("object_hash").eqNullSafe(F.col("base_object"))
+    status = (
+        F.when(bound & ~live, "tombstone").when(bound & (F.col("bound") == 1), "conflict").when(bound & ~base, "created").when(bound & same, "clean").when(bound, "dirty")
+        .when(live & F.col("object_hash").isNotNull(), "created")
+    )
+    rows = rows.withColumn("status", status).filter("status is not null")
+    return rows.select(*KEYS, "seq", "handle", "status", "flags", "object_hash", "meta", "sort_key", "level", F.when(F.col("status") == "conflict", F.col("conflict_revision")).alias("conflict_revision"), "base_flags", "base_object", "base_revision")
+
+
+def write_batch(tables: dict[str, DataFrame], ops: DataFrame, now: str, account: str | None = None, links: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables after a batch. ops: n, op ('upsert' or 'drop'), collection, link_id, source, handle, flags, object_hash, meta,
-    sort_key, level, base_flags, base_object, base_revision.
+    sort_key, level, base_flags, base_object, base_revision; if they have them, size (of the body) and conflict_revision (which makes
+    the binding conflicted). account: that of collections made on the way. links: (link_id, seq) of all items, where tables holds
+    those of some collections alone.
 
     An upsert makes the item, revives it from the trash (same number), or replaces its content, and binds the source. A drop
     unbinds the source: other bindings left make a tombstone, none left sends the item to the trash as dropped by that source.
     Items get their numbers by link. Reference counts follow by the difference, and bodies without references go."""
     items, bi, objects, meta = (tables[n] for n in ("items", "bindings", "objects", "meta"))
+    if "conflict_revision" not in ops.columns:
+        ops = ops.withColumn("conflict_revision", F.lit(None).cast("string"))
     last = Window.partitionBy(*KEYS, "source").orderBy(F.desc("n"))
     ops = ops.withColumn("__k", F.row_number().over(last)).filter("__k = 1").drop("__k")
     ups, drops = ops.filter("op = 'upsert'"), ops.filter("op = 'drop'").select(*KEYS, "source")
 
-    bind = ups.select(*KEYS, "source", "handle", "base_flags", "base_object", "base_revision", F.lit(0).alias("conflicted"), F.lit(None).cast("string").alias("conflict_revision"))
+    bind = ups.select(*KEYS, "source", "handle", "base_flags", "base_object", "base_revision", F.col("conflict_revision").isNotNull().cast("int").alias("conflicted"), "conflict_revision")
     new_bi = changes.upsert(changes.without(bi, drops), bind, [*KEYS, "source"], ["handle", "base_flags", "base_object", "base_revision", "conflicted", "conflict_revision"])
 
     final = Window.partitionBy(*KEYS).orderBy(F.desc("n"))
@@ -45,7 +67,7 @@ def write_batch(tables: dict[str, DataFrame], ops: DataFrame, now: str) -> dict[
     left = new_bi.groupBy(*KEYS).agg(F.count("*").alias("__bound"))
     dropped = drops.groupBy(*KEYS).agg(F.max("source").alias("__by"))
     # a link's number is known from any collection
-    fresh = changes.allocate_seq(content.select(*KEYS).join(items.select(KEYS), KEYS, "left_anti"), items, meta.first().next_seq).select(*KEYS, F.col("seq").alias("__seq"))
+    fresh = changes.allocate_seq(content.select(*KEYS).join(items.select(KEYS), KEYS, "left_anti"), items if links is None else links, meta.first().next_seq).select(*KEYS, F.col("seq").alias("__seq"))
     joined = items.withColumn("__old", F.lit(True)).join(content, KEYS, "full_outer").join(left, KEYS, "left").join(dropped, KEYS, "left").join(fresh, KEYS, "left")
     up, was = F.col("__new").isNotNull(), F.coalesce("__old", F.lit(False))
     out = F.col("__by").isNotNull() & ~up & was & ~retained()
@@ -69,7 +91,7 @@ def write_batch(tables: dict[str, DataFrame], ops: DataFrame, now: str) -> dict[
     bodies = ups.filter("object_hash is not null and size is not null").select(F.col("object_hash").alias("hash"), "size") if "size" in ops.columns else None
     held = changes.store_objects(objects, bodies) if bodies is not None else objects
     new_objects = collect(adjust(held, refcount_delta(count(items, bi), count(new_items, new_bi))))
-    co = changes.ensure_collections(tables["collections"], ops.select(F.col("collection").alias("id")))
+    co = changes.ensure_collections(tables["collections"], ops.select(F.col("collection").alias("id")), account)
     return tables | {"items": new_items, "bindings": new_bi, "objects": new_objects, "collections": co, "meta": new_meta}
 
 

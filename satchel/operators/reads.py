@@ -61,6 +61,11 @@ def pages(items: DataFrame, order: str, limit: int = PAGE) -> DataFrame:
     return rows.withColumn("n", n).select("collection", F.floor((F.col("n") - 1) / limit).alias("page"), ((F.col("n") - 1) % limit).alias("place"), *ITEM, "retained_at", "retained_by")
 
 
+def sized(rows: DataFrame, objects: DataFrame) -> DataFrame:
+    """rows with the sizes of their bodies."""
+    return rows.join(objects.select(F.col("hash").alias("object_hash"), "size"), "object_hash", "left")
+
+
 def pages_after(items: DataFrame, cursors: DataFrame, order: str, limit: int = PAGE) -> DataFrame:
     """For each (collection, sort_key, seq) of cursors, the page beyond it."""
     at = cursors.select("collection", F.col("sort_key").alias("k"), F.col("seq").alias("s"))
@@ -135,6 +140,16 @@ def placements(items: DataFrame, co: DataFrame, by: str) -> DataFrame:
     return rows.select(F.col(by).alias("key"), n.alias("place"), "collection", "account", "seq", "link_id", F.col("object_hash").alias("object"), "flags", "level")
 
 
+def json_ids(lists: DataFrame, column: str) -> DataFrame:
+    """(link_id) of JSON lists of ids."""
+    return lists.select(F.explode(F.from_json(column, "array<string>")).alias("link_id"))
+
+
+def retained_item(items: DataFrame, collection: str, seq: int | None = None, link: str | None = None) -> DataFrame:
+    """One retained item, by its number or its link."""
+    return items.filter((F.col("collection") == collection) & retained() & (F.col("seq") == seq if link is None else F.col("link_id") == link))
+
+
 def lookup_objects(items: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """The body of each link that has one; of several, that of the last collection."""
     rows = items.filter(F.col("object_hash").isNotNull())

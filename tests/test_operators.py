@@ -1,9 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from satchel.functions import columns as C
 from satchel.operators import changes, checks, drain, hub, reads
 from satchel.plans.store import SCHEMAS
+from satchel.sources import session
 
 NOW = "2026-06-01T00:00:00.000Z"
 OPS = "n bigint, op string, collection string, link_id string, source string, handle string, flags string, object_hash string, size bigint, meta string, sort_key string, level int, base_flags string, base_object string, base_revision string"
@@ -41,6 +44,11 @@ def rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
 
 
+def saved(t):
+    """Tables as they are after a commit."""
+    return {k: session.written(v, k) for k, v in t.items()}
+
+
 def decoded(spark, flags):
     df = spark.createDataFrame([(f,) for f in flags], "f string")
     return [r.x for r in df.select(C.flags_decode(F.col("f")).alias("x")).collect()]
@@ -55,7 +63,7 @@ def test_payload_typing(spark):
         ("remove", '{"v":1,"seq":4}', None), ("remove", '{"v":1.0,"seq":4}', "unsupported version"), ("remove", '{"v":"1","seq":4}', "unsupported version"),
         ("remove", '{"v":2,"seq":4}', "unsupported version"), ("remove", '{"seq":4}', "unsupported version"), ("remove", '{"v":1}', "missing field: seq"),
         ("remove", "nope", "malformed payload"), ("remove", "[1]", "malformed payload"), ("remove", None, "malformed payload"),
-        ("move", '{"v":1,"seq":4}', "missing field: to"), ("update", '{"v":1,"seq":4,"object":7}', "missing field: object"), ("submit", "nope", None),
+        ("move", '{"v":1,"seq":4}', "missing field: to"), ("update", '{"v":1,"seq":4,"object":7}', "missing field: object"), ("submit", "nope", "malformed payload"), ("submit", '{"v":1}', None), ("add", '{"v":1,"link_id":3}', "missing field: link_id"), ("add", '{"v":1,"handle":null}', "missing field: handle"),
     ]
     df = spark.createDataFrame([(i, a, p) for i, (a, p, _) in enumerate(cases)], "i int, a string, p string")
     got = df.select("i", C.payload_decode(F.col("a"), F.col("p"))["error"].alias("e")).orderBy("i").collect()
@@ -99,15 +107,15 @@ def test_shared_body_survives_until_its_last_holder(spark):
 
 def test_write_batch_life_cycle(spark):
     t = store(spark)
-    t = hub.write_batch(t, spark.createDataFrame([op(1, "upsert", "c", "a", "left", object_hash="h", size=5, base_object="h"), op(2, "upsert", "c", "a", "right", object_hash="h", size=5, base_object="h"), op(3, "upsert", "d", "a", "left")], OPS), NOW)
+    t = saved(hub.write_batch(t, spark.createDataFrame([op(1, "upsert", "c", "a", "left", object_hash="h", size=5, base_object="h"), op(2, "upsert", "c", "a", "right", object_hash="h", size=5, base_object="h"), op(3, "upsert", "d", "a", "left")], OPS), NOW))
     assert rows(t["items"], "collection", "seq", "deleted") == [("c", 1, 0), ("d", 1, 0)]
     assert rows(t["objects"], "hash", "refcount") == [("h", 3)]
-    t = hub.write_batch(t, spark.createDataFrame([op(1, "drop", "c", "a", "left")], OPS), NOW)
+    t = saved(hub.write_batch(t, spark.createDataFrame([op(1, "drop", "c", "a", "left")], OPS), NOW))
     assert rows(t["items"].filter("collection = 'c'"), "deleted", "retained_at") == [(1, None)]
-    t = hub.write_batch(t, spark.createDataFrame([op(1, "drop", "c", "a", "right")], OPS), NOW)
+    t = saved(hub.write_batch(t, spark.createDataFrame([op(1, "drop", "c", "a", "right")], OPS), NOW))
     assert rows(t["items"].filter("collection = 'c'"), "deleted", "retained_at", "retained_by") == [(1, NOW, "right")]
     assert rows(t["objects"], "hash", "refcount") == [("h", 1)]
-    t = hub.write_batch(t, spark.createDataFrame([op(1, "upsert", "c", "a", "left", flags='["x"]'), op(2, "upsert", "c", "b", "left")], OPS), NOW)
+    t = saved(hub.write_batch(t, spark.createDataFrame([op(1, "upsert", "c", "a", "left", flags='["x"]'), op(2, "upsert", "c", "b", "left")], OPS), NOW))
     assert rows(t["items"].filter("collection = 'c'"), "link_id", "seq", "flags", "deleted", "retained_at") == [("a", 1, '["x"]', 0, None), ("b", 2, "[]", 0, None)]
     assert t["objects"].count() == 0
     assert checks.refcount_drift(t["objects"], t["items"], t["bindings"], t["queue"]).count() == 0
@@ -136,13 +144,14 @@ def queue(*actions):
 def test_drain(spark):
     actions = queue(
         ("set-flags", '{"v":1,"seq":1,"flags":["$seen"]}', None), ("move", '{"v":1,"seq":1,"to":"d"}', None), ("update", '{"v":1,"seq":2,"object":"new"}', "new"), ("set-flags", '{"v":1,"seq":9,"flags":[]}', None),
-        ("remove", '{"v":1,"seq":9}', None), ("submit", "{}", None), ("remove", "nope", None), ("add", '{"v":1,"link":"z","object":"h3"}', "h3"), ("add", '{"v":1,"link":"b"}', None), ("remove", '{"v":1,"seq":5}', None), ("set-flags", '{"v":1,"seq":5,"flags":[]}', None),
-        ("add", '{"v":1,"link":"t","flags":["f"]}', None),
+        ("remove", '{"v":1,"seq":9}', None), ("submit", '{"v":1}', None), ("remove", "nope", None), ("add", '{"v":1,"link_id":"z","object":"h3"}', "h3"), ("add", '{"v":1,"link_id":"b"}', None), ("remove", '{"v":1,"seq":5}', None), ("set-flags", '{"v":1,"seq":5,"flags":[]}', None),
+        ("add", '{"v":1,"link_id":"t","flags":["f"]}', None),
     )
     objects = [dict(hash=h, size=1, refcount=n) for h, n in (("h1", 1), ("h2", 1), ("new", 1), ("h3", 1))]
     items = [item("c", "a", 1, object_hash="h1", level=2), item("c", "b", 2, object_hash="h2", level=2), item("c", "t", 5, deleted=1, retained_at=NOW, retained_by="left")]
     t = store(spark, items, [dict(collection="c", link_id="a", source="left", handle="1")], objects, actions)
     after, done = drain.drain(t, "left")
+    after = saved(after)
     got = {r.id: (r.outcome, r.error) for r in done.collect()}
     assert got == {
         1: ("applied", None), 2: ("applied", None), 3: ("applied", None), 4: ("parked", "unknown seq: 9"), 5: ("applied", None), 6: ("skipped", None), 7: ("parked", "malformed payload"),
@@ -163,3 +172,81 @@ def test_fail_and_park(spark):
     q = changes.fail(changes.fail(t["queue"], 1, "later", False), 7, "unknown", True)
     assert rows(q, "attempts", "error") == [(1, None)]
     assert rows(changes.fail(q, 1, "no", True), "attempts", "error") == [(2, "no")]
+
+
+def seq(action, n, **more):
+    return (action, json.dumps({"v": 1, "seq": n, **more}), more.get("object"))
+
+
+def test_what_is_gone_cannot_be_addressed(spark):
+    items = [item("c", "a", 1, object_hash="h"), item("c", "b", 2), item("c", "s", 3, deleted=1), item("c", "d", 4)]
+    actions = queue(seq("remove", 1), seq("set-flags", 1, flags=["x"]), seq("move", 2, to="d"), seq("move", 2, to="e"), seq("set-flags", 3), seq("remove", 3), seq("copy", 4, to="d"), seq("set-flags", 4, flags=["late"]), seq("copy", 4, to="d"), ("add", '{"v":1,"link_id":"s","handle":"mine"}', None), seq("set-flags", 3, flags=["back"]))
+    t = store(spark, items, [dict(collection="c", link_id="s", source="left", handle="old", base_flags="[]")], [dict(hash="h", size=1, refcount=1)], actions)
+    after, done = drain.drain(t, "left")
+    after = saved(after)
+    assert {r.id: r.error for r in done.collect()} == {1: None, 2: "unknown seq: 1", 3: None, 4: "unknown seq: 2", 5: "unknown seq: 3", 6: None, 7: None, 8: None, 9: None, 10: None, 11: None}
+    assert rows(after["items"], "collection", "seq", "flags", "deleted") == [("c", 1, "[]", 1), ("c", 2, "[]", 1), ("c", 3, '["back"]', 0), ("c", 4, '["late"]', 0), ("d", 2, "[]", 0), ("d", 4, '["late"]', 0)]
+    assert rows(after["bindings"], "collection", "link_id", "source", "handle", "base_flags") == [("c", "s", "left", "mine", None), ("d", "b", "left", "queue-3", None), ("d", "d", "left", "queue-9", None)]
+    assert checks.refcount_drift(after["objects"], after["items"], after["bindings"], after["queue"]).count() == 0
+
+
+def test_a_passing_failure_ends_a_collections_pass(spark):
+    t = store(spark, [item("c", "a", 1), item("c", "b", 2)], queue=queue(seq("set-flags", 1, flags=["x"]), seq("set-flags", 2, flags=["y"]), seq("remove", 1)))
+    after, done = drain.drain(t, "left", spark.createDataFrame([(2,)], "id bigint"))
+    assert rows(done, "id", "outcome") == [(1, "applied")]
+    assert rows(after["queue"], "id", "attempts", "error") == [(2, 1, None), (3, 0, None)]
+
+
+def test_overlay_and_decoded_queue(spark):
+    t = store(spark, [item("c", "a", 1), item("c", "b", 2)], queue=queue(seq("set-flags", 1, flags=["x"]), seq("remove", 2), ("add", '{"v":1,"link_id":"n","meta":{"k":1}}', None)))
+    assert rows(drain.overlay(t), "link_id", "flags", "deleted", "level", "pending") == [("a", '["x"]', 0, 0, True), ("b", "[]", 1, 0, True), ("n", "[]", 0, 1, True)]
+    assert [r.kind for r in drain.pending_decoded(t["queue"], "c").collect()] == ["set-flags", "remove", "add"]
+    bad = store(spark, queue=queue(("remove", "nope", None)))
+    with pytest.raises(Exception, match="malformed payload"):
+        drain.pending_decoded(bad["queue"], "c").collect()
+
+
+def test_payload_round_trip(spark):
+    given = [('link\\"', '["a"]', "h", '{"k": [1, 2]}', "x"), ("l", "[]", None, 'no "json', None), (None, "[]", "h", None, None), ("l", None, None, "3", None)]
+    df = spark.createDataFrame(given, "link string, flags string, body string, meta string, handle string")
+    text = C.payload_encode(flags=F.from_json("flags", "array<string>"), body=F.col("body"), link=F.col("link"), meta=F.col("meta"), handle=F.col("handle"))
+    p = C.payload_decode(F.lit("add"), F.col("t"))
+    got = df.select("*", text.alias("t")).select("*", p.alias("p"), C.payload_flags(F.col("t")).alias("f"), C.payload_meta(F.col("t")).alias("m")).collect()
+    for r in got:
+        assert (r.p.link_id, r.p.object, r.p.handle, r.p.error) == (r.link, r.body, r.handle, None) and r.f == (r.flags or "[]")
+        assert r.m == r.meta or json.loads(r.m) == json.loads(r.meta)
+    mixed = spark.createDataFrame([('{"v":1,"flags":["b",1,"a",null]}',), ('{"v":1,"flags":"a"}',)], "t string")
+    assert [r.f for r in mixed.select(C.payload_flags(F.col("t")).alias("f")).collect()] == ['["a","b"]', "[]"]
+
+
+def test_projection_and_conflicts(spark):
+    bound = lambda link, source="left", **more: dict(collection="c", link_id=link, source=source, handle="h", base_flags=None) | more
+    items = [item("c", "clean", 1, flags='["x"]', object_hash="h"), item("c", "dirty", 2, flags='["y"]'), item("c", "made", 3), item("c", "other", 4, object_hash="h"), item("c", "bare", 5), item("c", "stone", 6, deleted=1), item("c", "kept", 7, deleted=1, retained_at=NOW), item("c", "split", 8)]
+    bindings = [bound("clean", base_flags='["x"]', base_object="h"), bound("dirty", base_flags="[]"), bound("made"), bound("other", "right"), bound("bare", "right"), bound("stone", base_flags="[]"), bound("split", base_flags="[]", conflicted=1, conflict_revision="r9")]
+    t = store(spark, items, bindings)
+    got = {r.link_id: (r.status, r.handle, r.conflict_revision) for r in hub.project(t, "left").collect()}
+    assert got == {"clean": ("clean", "h", None), "dirty": ("dirty", "h", None), "made": ("created", "h", None), "other": ("created", None, None), "stone": ("tombstone", "h", None), "split": ("conflict", "h", "r9")}
+    # a conflict is written with its revision, and a later write without one clears it
+    ops = spark.createDataFrame([op(1, "upsert", "c", "dirty", "left", flags='["z"]')], OPS).withColumn("conflict_revision", F.lit("r1"))
+    t = saved(hub.write_batch(t, ops, NOW))
+    one = t["bindings"].filter("link_id = 'dirty'")
+    assert rows(one, "conflicted", "conflict_revision") == [(1, "r1")]
+    t = hub.write_batch(t, spark.createDataFrame([op(1, "upsert", "c", "dirty", "left", flags='["z"]')], OPS), NOW, account="me")
+    assert rows(t["bindings"].filter("link_id = 'dirty'"), "conflicted", "conflict_revision") == [(0, None)]
+
+
+def test_write_batch_makes_collections_in_the_account(spark):
+    t = hub.write_batch(store(spark), spark.createDataFrame([op(1, "upsert", "new", "a", "left")], OPS), NOW, account="me")
+    assert rows(t["collections"], "id", "account") == [("new", "me")]
+
+
+def test_lookup_by_json_lists(spark):
+    t = store(spark, [item("c", "a", 1, object_hash="h1"), item("d", "a", 1, object_hash="h2"), item("c", "b", 2, object_hash="h3"), item("c", "n", 3)])
+    ids = spark.createDataFrame([('["a","n"]',), ('["zz"]',), (None,)], "ids string")
+    assert rows(reads.lookup_objects(t["items"], reads.json_ids(ids, "ids")), "link_id", "object_hash") == [("a", "h2")]
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)], "k int").repartition(7)
+    assert rows(changes.numbered(df, ["k"], 5, "n").filter(F.col("n") != F.col("k") + 5), "k") == []
+    assert changes.numbered(df.limit(0), ["k"], 5, "n").count() == 0
