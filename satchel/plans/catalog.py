@@ -193,12 +193,11 @@ def retained_before(t: Tables) -> DataFrame:
     return reads.retained_before(t["items"], CUTOFF).select("collection", "link_id", "seq", "object_hash", "retained_at")
 
 
-@query("select collection, link_id, seq, retained_at from items where not (retained_at is not null and seq = 1)")
+@query("select collection, link_id, seq, retained_at from items where not (retained_at is not null and seq in (select id from queue where error is not null))")
 def purge_one(t: Tables) -> DataFrame:
-    out = t["items"]
-    for r in reads.collections(t["collections"]).select("id").collect():  # a row for each collection
-        out = out if r.id == "zz/empty" else changes.purge_one(out, r.id, 1)
-    return out.select("collection", "link_id", "seq", "retained_at")
+    """In each collection, the retained items that have the numbers of parked actions."""
+    which = t["collections"].select(F.col("id").alias("collection")).join(reads.parked(t["queue"]).select(F.col("id").alias("seq")).distinct())
+    return changes.purge_each(t["items"], which).select("collection", "link_id", "seq", "retained_at")
 
 
 @query(f"select collection, link_id, seq, retained_at from items where retained_at is null or retained_at >= '{CUTOFF}'")
@@ -394,9 +393,12 @@ def item_show(t: Tables) -> DataFrame:
     return reads.item_show(t["items"], t["collections"])
 
 
-@query("select collection, case when retained_at is not null then 'retained' else 'live' end as state, count(*) as n from items where deleted = 0 or retained_at is not null group by 1, 2")
+@query("""select collection, case when retained_at is not null then 'retained' else 'live' end as state, seq, link_id, flags, meta, object_hash as object,
+case level when 1 then 'meta' when 2 then 'full' else 'probed' end as level, retained_at, retained_by from items where deleted = 0 or retained_at is not null""")
 def export_rows(t: Tables) -> DataFrame:
-    return export.rows(t["items"]).groupBy("collection", "state").agg(F.count("line").alias("n"))
+    """What the exported lines of JSON hold when they are read again."""
+    line = F.from_json("line", "seq bigint, link_id string, flags array<string>, meta string, object string, level string, retained_at string, retained_by string")
+    return export.rows(t["items"]).select("collection", "state", line.alias("l")).select("collection", "state", "l.seq", "l.link_id", F.to_json("l.flags").alias("flags"), "l.meta", "l.object", "l.level", "l.retained_at", "l.retained_by")
 
 
 @query("""select collection, link_id, array_to_string(list_sort(list_distinct(cast(from_json(flags, '["VARCHAR"]') as varchar[]))), ',') as flags from items""")
@@ -483,14 +485,128 @@ def write_batch(t: Tables) -> DataFrame:
     return hub.write_batch(t, ops, NOW)["items"].select("collection", "link_id", "seq", "deleted", "retained_at", "retained_by")
 
 
-@query(None)
+DRAIN = """with said as (
+select q.id, q.collection, q.action, case when q.action in ('set-flags', 'remove', 'copy', 'update') then q.action else 'unknown' end as kind,
+case when not json_valid(payload) then 'malformed payload' when action = 'update' and json_extract_string(payload, '$.object') is null then 'missing field: object' end as bad,
+case when json_valid(payload) then cast(json_extract(payload, '$.seq') as bigint) end as seq, case when json_valid(payload) then json_extract_string(payload, '$.object') end as body
+from queue q where q.error is null),
+found as (select s.*, i.link_id, i.deleted as was, i.flags, i.object_hash, coalesce(i.link_id, concat('#', cast(s.id as varchar))) as grp
+from said s left join items i on i.collection = s.collection and i.seq = s.seq and i.retained_at is null),
+lived as (select *, coalesce(last_value(case when bad is null and link_id is not null and kind = 'remove' then false end ignore nulls)
+over (partition by collection, grp order by id rows between unbounded preceding and 1 preceding), was = 0, false) as live from found),
+judged as (select *, case when bad is not null then bad when kind in ('set-flags', 'copy', 'update') and not live then concat('unknown seq: ', cast(seq as varchar)) end as error from lived),
+done as (select *, case when error is not null then 'parked' when kind = 'unknown' then 'skipped' else 'applied' end as outcome from judged)"""
+
+
+@query(f"select * from ({DRAIN} select id, collection, link_id, action, outcome, error from done) x")
 def drain_outcomes(t: Tables) -> DataFrame:
-    return drain.outcomes(t, "left")
+    return drain.outcomes(t)
 
 
-@query(None)
+@query(f"select * from ({DRAIN} select count(*) filter (where outcome = 'applied') as applied, count(*) filter (where outcome = 'parked') as parked, count(*) filter (where outcome = 'skipped') as skipped from done) x")
 def drain_report(t: Tables) -> DataFrame:
-    return drain.report(drain.outcomes(t, "left"))
+    return drain.report(drain.outcomes(t))
+
+
+@query(f"""select * from ({DRAIN},
+last as (select collection, link_id, max(id) filter (where kind = 'set-flags') as f, max(id) filter (where kind = 'update') as u, max(id) filter (where kind = 'remove' and live) as r
+from done where outcome = 'applied' and (kind in ('set-flags', 'update') or (kind = 'remove' and live)) group by collection, link_id)
+select i.collection, i.link_id, case when l.f is not null then '["$seen"]' else i.flags end as flags, coalesce(u.body, i.object_hash) as object_hash,
+case when l.r is not null then 1 else i.deleted end as deleted, l.link_id is not null as pending
+from items i left join last l on l.collection = i.collection and l.link_id = i.link_id left join done u on u.id = l.u) x""")
+def overlay(t: Tables) -> DataFrame:
+    return drain.overlay(t).select("collection", "link_id", "flags", "object_hash", "deleted", "pending")
+
+
+@query("""select i.collection, i.link_id, case when b.link_id is not null and i.deleted = 1 then 'tombstone' when b.conflicted = 1 then 'conflict'
+when b.link_id is not null and coalesce(b.base_flags, b.base_object, b.base_revision) is null then 'created'
+when b.link_id is not null and i.flags = coalesce(b.base_flags, '[]') and i.object_hash is not distinct from b.base_object then 'clean' when b.link_id is not null then 'dirty' else 'created' end as status,
+b.handle, case when b.conflicted = 1 and i.deleted = 0 then b.conflict_revision end as conflict_revision
+from items i left join bindings b on b.collection = i.collection and b.link_id = i.link_id and b.source = 'right'
+where i.retained_at is null and (b.link_id is not null or (i.deleted = 0 and i.object_hash is not null))""")
+def projection(t: Tables) -> DataFrame:
+    return hub.project(t, "right").select("collection", "link_id", "status", "handle", "conflict_revision")
+
+
+@query(f"""select x.collection, x.seq, x.link_id, x.object_hash, o.size from (select * from items where retained_at is not null) x left join objects o on o.hash = x.object_hash""")
+def retained_sizes(t: Tables) -> DataFrame:
+    return reads.sized(t["items"].filter(reads.retained()), t["objects"]).select("collection", "seq", "link_id", "object_hash", "size")
+
+
+@query("select link_id, max_by(object_hash, collection) as object_hash from items where object_hash is not null and link_id in (select link_id from items where retained_at is not null) group by link_id")
+def lookup_objects_json(t: Tables) -> DataFrame:
+    """Links given as JSON lists, one for each collection's trash."""
+    lists = t["items"].filter(reads.retained()).groupBy("collection").agg(F.to_json(F.collect_list("link_id")).alias("ids"))
+    return reads.lookup_objects(t["items"], reads.json_ids(lists, "ids"))
+
+
+@query("select collection, link_id, seq, object_hash from items where retained_at is not null and link_id in (select link_id from items where deleted = 0)")
+def retained_elsewhere(t: Tables) -> DataFrame:
+    """Retained items of which the link lives on in some collection."""
+    links = t["items"].filter(reads.live()).select("link_id").distinct()
+    return t["items"].filter(reads.retained()).join(links, "link_id", "left_semi").select("collection", "link_id", "seq", "object_hash")
+
+
+def _batch(t: Tables) -> dict[str, DataFrame]:
+    """The tables after a batch that brings back all of the trash, restates all live items of full level, adds an item for each orphan
+    body, and drops all of the right source."""
+    null = F.lit(None).cast("string")
+    shared = {"n": F.lit(1).cast("bigint"), "base_revision": null}
+    content = ["collection", "link_id", "object_hash", "meta", "sort_key", "level"]
+    old = t["items"].filter(reads.retained() | (reads.live() & (F.col("level") == 2)))
+    up = old.select(*content, F.when(reads.retained(), '["$back"]').otherwise('["$seen"]').alias("flags"), F.concat(F.lit("R"), F.col("seq").cast("string")).alias("handle"), F.lit(7).cast("bigint").alias("size"))
+    new = t["blobs"].filter("hash like 'orphan-%'").select(F.lit("zz/new").alias("collection"), F.concat(F.lit("new:"), "hash").alias("link_id"), F.col("hash").alias("object_hash"), null.alias("meta"), F.lit("").alias("sort_key"), F.lit(2).alias("level"), F.lit("[]").alias("flags"), F.lit("N").alias("handle"), "size")
+    ups = up.unionByName(new).withColumns({"op": F.lit("upsert"), "source": F.lit("left"), "base_flags": F.col("flags"), "base_object": F.col("object_hash"), **shared})
+    drops = t["bindings"].filter("source = 'right'").select("collection", "link_id", "source", "handle")
+    drops = drops.withColumns({"op": F.lit("drop"), "level": F.lit(0), "size": F.lit(None).cast("bigint"), **{c: null for c in ("flags", "object_hash", "meta", "sort_key", "base_flags", "base_object")}, **shared})
+    return hub.write_batch(t, ups.unionByName(drops), NOW)
+
+
+BATCH = """with up as (select * from items where retained_at is not null or (deleted = 0 and level = 2)),
+lefts as (select collection, link_id from bindings where source = 'left' union select collection, link_id from up),
+rights as (select collection, link_id from bindings where source = 'right'),
+fresh as (select hash, size, row_number() over (order by concat('new:', hash)) as n from blobs where hash like 'orphan-%'),
+new_items as (
+select i.collection, i.link_id, i.seq, case when u.link_id is null then i.flags when i.retained_at is not null then '["$back"]' else '["$seen"]' end as flags, i.object_hash, i.level,
+case when u.link_id is not null then 0 when r.link_id is not null then 1 else i.deleted end as deleted,
+case when u.link_id is null and r.link_id is not null and l.link_id is null and i.retained_at is null then 'NOW' when u.link_id is null then i.retained_at end as retained_at,
+case when u.link_id is null and r.link_id is not null and l.link_id is null and i.retained_at is null then 'right' when u.link_id is null then i.retained_by end as retained_by
+from items i left join up u on u.collection = i.collection and u.link_id = i.link_id left join rights r on r.collection = i.collection and r.link_id = i.link_id left join lefts l on l.collection = i.collection and l.link_id = i.link_id
+union all select 'zz/new', concat('new:', hash), (select next_seq from meta) + n - 1, '[]', hash, 2, 0, null, null from fresh),
+new_bindings as (
+select b.collection, b.link_id, b.source, case when u.link_id is null then b.handle else concat('R', cast(u.seq as varchar)) end as handle, case when u.link_id is null then b.base_flags else '["$seen"]' end as base_flags,
+case when u.link_id is null then b.base_object else u.object_hash end as base_object, case when u.link_id is null then b.conflicted else 0 end as conflicted
+from bindings b left join up u on u.collection = b.collection and u.link_id = b.link_id where b.source = 'left'
+union all select u.collection, u.link_id, 'left', concat('R', cast(u.seq as varchar)), case when u.retained_at is not null then '["$back"]' else '["$seen"]' end, u.object_hash, 0
+from up u where not exists (select 1 from bindings b where b.source = 'left' and b.collection = u.collection and b.link_id = u.link_id)
+union all select 'zz/new', concat('new:', hash), 'left', 'N', '[]', hash, 0 from fresh),
+counted as (select hash, cast(sum(d) as bigint) as d from (
+select object_hash as hash, -1 as d from items union all select conflict_object, -1 from items union all select base_object, -1 from bindings
+union all select object_hash, 1 from new_items union all select conflict_object, 1 from items union all select base_object, 1 from new_bindings) x where hash is not null group by hash),
+bodies as (select object_hash as hash, 7 as size from up where object_hash is not null union select hash, size from fresh),
+new_objects as (select coalesce(o.hash, b.hash) as hash, coalesce(b.size, o.size) as size, coalesce(o.refcount, 0) + coalesce(c.d, 0) as refcount
+from objects o full outer join bodies b on b.hash = o.hash left join counted c on c.hash = coalesce(o.hash, b.hash))""".replace("NOW", NOW)
+
+
+@query(f"select * from ({BATCH} select * from new_items) x")
+def write_items(t: Tables) -> DataFrame:
+    return _batch(t)["items"].select("collection", "link_id", "seq", "flags", "object_hash", "level", "deleted", "retained_at", "retained_by")
+
+
+@query(f"select * from ({BATCH} select * from new_bindings) x")
+def write_bindings(t: Tables) -> DataFrame:
+    return _batch(t)["bindings"].select("collection", "link_id", "source", "handle", "base_flags", "base_object", "conflicted")
+
+
+@query(f"select * from ({BATCH} select hash, size, refcount from new_objects where refcount <> 0) x")
+def write_objects(t: Tables) -> DataFrame:
+    return _batch(t)["objects"].select("hash", "size", "refcount")
+
+
+@query(f"select * from ({BATCH} select (select max(seq) + 1 from new_items) as next_seq, (select count(*) from collections) + 1 as collections) x")
+def write_counters(t: Tables) -> DataFrame:
+    after = _batch(t)
+    return after["meta"].select("next_seq").crossJoin(after["collections"].agg(F.count("*").alias("collections")))
 
 
 FOUND["write_batch"] = (

@@ -21,10 +21,10 @@ def definitions(dialect: dict[str, str]) -> dict[str, str]:
     return {
         "base": f"""
 select d.doc_id, d.lang, d.source, cast(substr(d.source, 4) as int) as src_no, concat(d.lang, '/', d.source) as collection,
-  case when d.doc_id % 5 = 0 then concat('uid:', cast(d.doc_id as varchar(20))) else concat('mid:', md5(substr(d.text, 1, 64))) end as link_id,
-  {sha("d.text")} as h, cast({size("d.text")} as bigint) as size, d.n_chars, e.ts,
+  case when d.doc_id % 5 = 0 then concat('uid:', cast(d.doc_id as varchar(20))) else concat('mid:', md5(coalesce(d.text, ''))) end as link_id,
+  {sha("coalesce(d.text, '')")} as h, cast({size("coalesce(d.text, '')")} as bigint) as size, d.n_chars, coalesce(e.ts, timestamp '2024-01-01 00:00:00') as ts,
   case when l.quality = 1 and l.toxic = 1 then '["$flagged","$seen"]' when l.quality = 1 then '["$seen"]' when l.toxic = 1 then '["$flagged"]' else '[]' end as flags
-from documents d join events e on e.event_id = d.doc_id left join labels l on l.doc_id = d.doc_id""",
+from documents d left join events e on e.event_id = d.doc_id left join labels l on l.doc_id = d.doc_id""",
         "one": "select * from (select base.*, row_number() over (partition by collection, link_id order by doc_id) as rn from base) x where rn = 1",
         "items": f"""
 select collection, link_id, cast(dense_rank() over (order by first_doc, link_id) as bigint) as seq, flags,
@@ -52,7 +52,7 @@ where retained_at is null and ((s.source = 'left' and deleted = 0) or (s.source
 union all select 'zz/gone', 'mid:dangling', 'left', 'L0', '[]', null, null, 0, null""",
         "targets": "select seq, min(collection) as collection, min(object_hash) as object_hash from items where retained_at is null group by seq",
         "queue": f"""
-select cast(floor(e.event_id / 20) as bigint) + 1 as id, {iso("e.ts")} as created_at, concat('user-', cast(e.user_id as varchar(20))) as producer, t.collection,
+select cast(e.event_id as bigint) + 1 as id, {iso("e.ts")} as created_at, concat('user-', cast(e.user_id as varchar(20))) as producer, t.collection,
   case e.event_type when 'click' then 'set-flags' when 'view' then 'copy' when 'purchase' then 'update' when 'signup' then 'remove' else case when e.value >= 100 then 'remove' else 'submit' end end as action,
   case e.event_type when 'click' then concat('{{"v":1,"seq":', cast(t.seq as varchar(20)), ',"flags":["$seen"]}}')
     when 'view' then concat('{{"v":1,"seq":', cast(t.seq as varchar(20)), ',"to":"zz/empty"}}')
@@ -62,7 +62,7 @@ select cast(floor(e.event_id / 20) as bigint) + 1 as id, {iso("e.ts")} as create
   case when e.event_type = 'purchase' then t.object_hash end as object_hash,
   case when e.event_type = 'error' and e.value < 20 then 1 else 0 end as attempts,
   case when e.event_type = 'error' and e.value < 20 then 'unknown seq: 9999' end as error
-from events e join targets t on t.seq = e.user_id + 1 where e.event_id % 20 = 0""",
+from events e join targets t on t.seq = e.user_id + 1""",
         "refs": """
 select object_hash as hash from items where object_hash is not null union all select conflict_object from items where conflict_object is not null
 union all select base_object from bindings where base_object is not null union all select object_hash from queue where object_hash is not null""",
