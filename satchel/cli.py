@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from satchel.functions import columns as C
-from satchel.operators import changes, checks, export, reads
+from satchel.operators import checks, export, reads
 from satchel.plans.store import Owner, Producer, Reader
 from satchel.sources import blobs
 
@@ -38,7 +38,10 @@ def show(df: DataFrame, as_json: bool) -> None:
         for line in df.toJSON().toLocalIterator():
             print(line)
     else:
-        df.show(1000, truncate=60)
+        columns = df.columns
+        print("\t".join(columns))
+        for r in df.toLocalIterator():  # all rows, however many
+            print("\t".join("-" if r[c] is None else str(r[c]) for c in columns))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -119,11 +122,11 @@ def run(spark: SparkSession, argv: list[str], now: dt.datetime | None = None) ->
             else:
                 if rows[0].retained_at is None:
                     raise SystemExit("not retained")
-                payload = C.payload_encode(F.lit(None).cast("bigint"), None, C.flags_decode(F.lit(rows[0].flags)), F.lit(rows[0].object_hash))
+                r = rows[0]
+                payload = C.payload_encode(flags=C.flags_decode(F.lit(r.flags)), body=F.lit(r.object_hash), link=F.lit(r.link_id), meta=F.lit(r.meta))
                 made = spark.range(1).select(payload.alias("p")).first().p
-                link = made[:-1] + f', "link": "{rows[0].link_id}"}}' if rows[0].link_id else made
                 stamp = now.strftime("%Y-%m-%dT%H:%M:%S.000Z")
-                Producer(spark, reader.folder, "cli").enqueue(spark.createDataFrame([(stamp, rows[0].collection, "add", link, rows[0].object_hash)], "created_at string, collection string, action string, payload string, object_hash string"))
+                Producer(spark, reader.folder, "cli").enqueue(spark.createDataFrame([(stamp, r.collection, "add", made, r.object_hash)], "created_at string, collection string, action string, payload string, object_hash string"))
                 Owner(spark, reader.folder, source_of(t, args.source)).drain()
                 back = Reader(spark, reader.folder).tables()["items"].filter((F.col("seq") == args.seq) & (F.col("deleted") == 0))
                 print("refused" if back.isEmpty() else "applied")
@@ -138,15 +141,11 @@ def run(spark: SparkSession, argv: list[str], now: dt.datetime | None = None) ->
                 if args.collection is None or args.seq is None:
                     raise SystemExit("name a collection and --seq, or --older-than")
                 sure(args)
-                items = changes.purge_one(t["items"], args.collection, args.seq)
-                refs = checks.references(items, t["bindings"], t["queue"])
-                objects = t["objects"].join(refs, "hash", "left").withColumn("refcount", F.coalesce("expected", F.lit(0)).cast("bigint")).drop("expected")
-                owner._finish(t, t | {"items": items, "objects": checks.collect(objects)}, ("items", "objects"))
+                owner.purge(spark.createDataFrame([(args.collection, args.seq)], "collection string, seq bigint"))
         case "queue":
             out(t["queue"].select("id", "created_at", "producer", "collection", C.action_summary(F.col("action"), F.col("payload")).alias("summary"), "attempts", C.dash(F.col("error")).alias("error")).orderBy("id"))
         case "cancel":
-            owner = Owner(spark, args.folder)
-            owner._finish(t, t | {"queue": changes.cancel(t["queue"], spark.createDataFrame([(args.id,)], "id bigint"))}, ("queue",))
+            Owner(spark, args.folder).cancel(spark.createDataFrame([(args.id,)], "id bigint"))
         case "drain":
             from satchel.operators.drain import report
 
@@ -170,6 +169,9 @@ def run(spark: SparkSession, argv: list[str], now: dt.datetime | None = None) ->
                 if n:
                     show(df if args.json else df.limit(20), args.json)
             if args.fix:
+                owner = Owner(spark, args.folder)
+                owner.take_in()
+                t = owner.tables()
                 old = t["blobs"].filter(F.col("modified") < F.lit(now - dt.timedelta(seconds=duration(args.grace)))).select("hash", "size")
                 for r in checks.orphan_blobs(old, t["objects"]).toLocalIterator():
                     blobs.remove(spark, f"{reader.folder}/objects", r.hash)

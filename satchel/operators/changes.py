@@ -27,10 +27,11 @@ def without(table: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def ensure_collections(co: DataFrame, ids: DataFrame, account: str | None = None) -> DataFrame:
-    """Collections for ids (one column, id) that aren't there: no kind, named as their id, in the handle's account."""
-    new = ids.select("id").distinct().join(co.select("id"), "id", "left_anti")
+    """Collections for ids (id, or id and account) that aren't there: no kind, named as their id, in their or the handle's account."""
+    account = F.coalesce("account", F.lit(account).cast("string")) if "account" in ids.columns else F.lit(account).cast("string")
+    new = ids.select("id", account.alias("account")).dropDuplicates(["id"]).join(co.select("id"), "id", "left_anti")
     null = F.lit(None).cast("string")
-    rows = new.select("id", F.lit(account).cast("string").alias("account"), F.lit("").alias("kind"), F.col("id").alias("name"), null.alias("parent"), F.lit(None).cast("int").alias("sort_order"), F.lit("manual").alias("conflict"), F.lit(1).alias("generation"))
+    rows = new.select("id", "account", F.lit("").alias("kind"), F.col("id").alias("name"), null.alias("parent"), F.lit(None).cast("int").alias("sort_order"), F.lit("manual").alias("conflict"), F.lit(1).alias("generation"))
     return co.unionByName(rows, allowMissingColumns=True)
 
 

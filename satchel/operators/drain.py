@@ -109,8 +109,22 @@ def drain(tables: dict[str, DataFrame], source: str, broken: DataFrame | None =
     broken: (id) of actions that fail for the time being, as a lost connection makes them fail: such a one stays pending with one
     attempt more and ends its collection's pass, so what comes after it stays as it is. Copies of one item into one collection:
     the last one counts; a copy onto a live item changes nothing."""
-    from satchel.operators.checks import collect, references
+    from satchel.operators.checks import adjust, collect, references, refcount_delta
 
+    after, found = drain_rows(tables, source, broken)
+    count = lambda t: references(t["items"], t["bindings"], t["queue"]).withColumnRenamed("expected", "n")
+    return after | {"objects": collect(adjust(tables["objects"], refcount_delta(count(tables), count(after))))}, found
+
+
+def reach(queue: DataFrame) -> DataFrame:
+    """(collection) of all collections that a pass may change: those with pending actions, and the targets of these."""
+    rows = pending(queue)
+    to = rows.filter(F.col("action").isin("move", "copy")).select(C.typed(F.col("payload"), "to", "string").alias("collection")).filter("collection is not null")
+    return rows.select("collection").unionByName(to)
+
+
+def drain_rows(tables: dict[str, DataFrame], source: str, broken: DataFrame | None = None, links: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """drain without the objects. links: (link_id, seq) of all items, where tables holds those of some collections alone."""
     queue = tables["queue"]
     reached = tables
     if broken is not None:
@@ -128,7 +142,7 @@ def drain(tables: dict[str, DataFrame], source: str, broken: DataFrame | None =
     copies = copies.join(blocked, KEYS, "left_anti")
     both = states.withColumn("copied", F.lit(False)).unionByName(copies.withColumn("copied", F.lit(True)))
     every = session.written(both.groupBy(*KEYS).agg(F.max_by(F.struct(*CONTENT, "copied"), "last").alias("__new"), F.max("last").alias("__last")), "states")
-    fresh = changes.allocate_seq(every.select(KEYS).join(items.select(KEYS), KEYS, "left_anti"), items, tables["meta"].first().next_seq).select(*KEYS, F.col("seq").alias("__seq"))
+    fresh = changes.allocate_seq(every.select(KEYS).join(items.select(KEYS), KEYS, "left_anti"), items if links is None else links, tables["meta"].first().next_seq).select(*KEYS, F.col("seq").alias("__seq"))
     hit = F.col("__new").isNotNull()
     back = hit & (F.col("__new.deleted") == 0)
     joined = items.join(every.drop("__last"), KEYS, "full_outer").join(fresh, KEYS, "left")
@@ -141,8 +155,6 @@ def drain(tables: dict[str, DataFrame], source: str, broken: DataFrame | None =
     null = {c: F.lit(None).cast("string") for c in ("base_flags", "base_object", "base_revision", "conflict_revision")}
     bind = put.unionByName(added.join(put.select(KEYS), KEYS, "left_anti")).withColumns({"source": F.lit(source), "conflicted": F.lit(0), **null})
     bindings = changes.upsert(tables["bindings"], bind, [*KEYS, "source"], ["handle", "conflicted", *null])
-    refs = references(new_items, bindings, queue)
-    objects = tables["objects"].join(refs, "hash", "left").withColumn("refcount", F.coalesce("expected", F.lit(0)).cast("bigint")).drop("expected")
     co = changes.ensure_collections(tables["collections"], put.select(F.col("collection").alias("id")))
     meta = tables["meta"].crossJoin(new_items.agg((F.max("seq") + 1).alias("__m"))).withColumn("next_seq", F.greatest("next_seq", "__m")).select(tables["meta"].columns)
-    return tables | {"queue": queue, "items": new_items, "bindings": bindings, "objects": collect(objects), "collections": co, "meta": meta}, found.select("id", *KEYS, "action", "outcome", "error")
+    return tables | {"queue": queue, "items": new_items, "bindings": bindings, "collections": co, "meta": meta}, found.select("id", *KEYS, "action", "outcome", "error")

@@ -52,7 +52,25 @@ def write_batch(tables: dict[str, DataFrame], ops: DataFrame, now: str, account:
     An upsert makes the item, revives it from the trash (same number), or replaces its content, and binds the source. A drop
     unbinds the source: other bindings left make a tombstone, none left sends the item to the trash as dropped by that source.
     Items get their numbers by link. Reference counts follow by the difference, and bodies without references go."""
-    items, bi, objects, meta = (tables[n] for n in ("items", "bindings", "objects", "meta"))
+    from satchel.operators.checks import adjust, collect, refcount_delta
+
+    after = write_rows(tables, ops, now, account, links)
+    given = bodies(ops)
+    held = tables["objects"] if given is None else changes.store_objects(tables["objects"], given)
+    delta = refcount_delta(_refs(tables["items"], tables["bindings"]), _refs(after["items"], after["bindings"]))
+    return after | {"objects": collect(adjust(held, delta))}
+
+
+def bodies(ops: DataFrame) -> DataFrame | None:
+    """(hash, size) of the bodies that a batch brings."""
+    if "size" not in ops.columns:
+        return None
+    return ops.filter("op = 'upsert' and object_hash is not null and size is not null").select(F.col("object_hash").alias("hash"), "size")
+
+
+def write_rows(tables: dict[str, DataFrame], ops: DataFrame, now: str, account: str | None = None, links: DataFrame | None = None) -> dict[str, DataFrame]:
+    """write_batch without the objects."""
+    items, bi, meta = (tables[n] for n in ("items", "bindings", "meta"))
     if "conflict_revision" not in ops.columns:
         ops = ops.withColumn("conflict_revision", F.lit(None).cast("string"))
     last = Window.partitionBy(*KEYS, "source").orderBy(F.desc("n"))
@@ -85,14 +103,8 @@ def write_batch(tables: dict[str, DataFrame], ops: DataFrame, now: str, account:
     new_items = joined.select(*((columns[c].alias(c) if c in columns else F.col(c)) for c in items.columns))
     new_meta = meta.crossJoin(new_items.agg((F.max("seq") + 1).alias("__m"))).withColumn("next_seq", F.greatest("next_seq", "__m")).select(meta.columns)
 
-    count = lambda i, b: _refs(i, b)
-    from satchel.operators.checks import adjust, collect, refcount_delta
-
-    bodies = ups.filter("object_hash is not null and size is not null").select(F.col("object_hash").alias("hash"), "size") if "size" in ops.columns else None
-    held = changes.store_objects(objects, bodies) if bodies is not None else objects
-    new_objects = collect(adjust(held, refcount_delta(count(items, bi), count(new_items, new_bi))))
     co = changes.ensure_collections(tables["collections"], ops.select(F.col("collection").alias("id")), account)
-    return tables | {"items": new_items, "bindings": new_bi, "objects": new_objects, "collections": co, "meta": new_meta}
+    return tables | {"items": new_items, "bindings": new_bi, "collections": co, "meta": new_meta}
 
 
 def _refs(items: DataFrame, bi: DataFrame) -> DataFrame:

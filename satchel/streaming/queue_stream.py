@@ -1,7 +1,7 @@
 """The queue as a stream: producers' folders of action rows come in, and each micro-batch is applied to the store.
 
-A batch is committed by the store's manifest swap, which records the folders taken in; a batch that is run again after a crash finds
-them recorded and changes nothing, so each action takes effect once."""
+A batch is committed by the store's manifest swap, which records the folders taken in, and then deletes them; a batch that is run again
+after a crash finds them recorded or gone and changes nothing, so each action takes effect once."""
 
 from __future__ import annotations
 
@@ -17,6 +17,6 @@ def start(spark: SparkSession, folder: str, checkpoint: str, source: str = "left
         if not batch.isEmpty():
             Owner(spark, folder, source).drain()
 
-    stream = spark.readStream.schema(SCHEMAS["queue"]).option("recursiveFileLookup", "true").parquet(f"{folder.rstrip('/')}/inbox")
+    stream = spark.readStream.schema(SCHEMAS["queue"]).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").parquet(f"{folder.rstrip('/')}/inbox")
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()

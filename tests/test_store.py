@@ -4,7 +4,7 @@ import json
 import pytest
 
 from satchel import cli
-from satchel.operators import export
+from satchel.operators import checks, export
 from satchel.plans import store as S
 from satchel.plans.catalog import tables
 from satchel.sources import blobs
@@ -89,3 +89,57 @@ def test_durations():
     with pytest.raises(ValueError):
         cli.duration("soon")
     assert cli.cutoff("9999999d", dt.datetime(2026, 1, 1, tzinfo=dt.UTC)) == "1970-01-01T00:00:00.000Z"
+
+
+def test_a_queued_body_is_never_swept(spark, tmp_path):
+    folder = f"{tmp_path}/s"
+    o = S.Owner(spark, folder)
+    blobs.put(spark, f"{folder}/objects", "aaaabbbb", b"body")
+    o.write(spark.createDataFrame([op(1, "upsert", "c", "a", "left", object_hash="aaaabbbb", size=4)], OPS), NOW)
+    add = ("1", "d", "add", '{"v":1,"link_id":"z","object":"aaaabbbb"}', "aaaabbbb", 4)
+    S.Producer(spark, folder, "p", account="me").enqueue(spark.createDataFrame([add], ACTION + ", size bigint"))
+    seen = S.Reader(spark, folder).tables()
+    assert rows(seen["objects"], "hash", "size", "refcount") == [("aaaabbbb", 4, 2)]
+    assert rows(seen["collections"].filter("id = 'd'"), "id", "account") == [("d", "me")] and seen["queue"].count() == 1
+    drift = lambda t: checks.refcount_drift(t["objects"], t["items"], t["bindings"], t["queue"]).count()
+    assert drift(seen) == 0
+    # its only item goes, and the trash is emptied
+    o = S.Owner(spark, folder)
+    o.write(spark.createDataFrame([op(1, "drop", "c", "a", "left")], OPS), NOW)
+    o.purge_before("2099")
+    assert blobs.get(spark, f"{folder}/objects", "aaaabbbb") == b"body"
+    now = S.Reader(spark, folder).tables()
+    assert rows(now["objects"], "hash", "refcount") == [("aaaabbbb", 1)] and now["queue"].count() == 1 and drift(now) == 0
+    o.drain()
+    now = S.Reader(spark, folder).tables()
+    assert rows(now["items"], "collection", "object_hash", "deleted") == [("d", "aaaabbbb", 0)] and now["queue"].count() == 0 and drift(now) == 0
+    # a cancelled action releases its pin
+    S.Producer(spark, folder, "p").enqueue(spark.createDataFrame([("2", "d", "update", '{"v":1,"seq":1,"object":"ccccdddd"}', "ccccdddd", 9)], ACTION + ", size bigint"))
+    blobs.put(spark, f"{folder}/objects", "ccccdddd", b"new")
+    id_ = S.Reader(spark, folder).tables()["queue"].first().id
+    cli.run(spark, [folder, "cancel", str(id_)])
+    now = S.Reader(spark, folder).tables()
+    assert rows(now["objects"], "hash") == [("aaaabbbb",)] and now["queue"].count() == 0 and drift(now) == 0
+    assert blobs.get(spark, f"{folder}/objects", "ccccdddd") is None
+
+
+def test_a_commit_writes_the_buckets_it_touches(spark, tmp_path):
+    o = S.Owner(spark, f"{tmp_path}/s", account="me")
+    o.write(spark.createDataFrame([op(k, "upsert", f"c{k}", f"l{k}", "left") for k in range(12)], OPS), NOW)
+    before = o.manifest["tables"]
+    assert len(before["items"]) > 4
+    o.write(spark.createDataFrame([op(1, "upsert", "c3", "more", "left")], OPS), NOW)
+    after = o.manifest["tables"]
+    differ = [b for b in after["items"] if after["items"][b] != before["items"].get(b)]
+    assert len(differ) == 1 and set(after["items"]) >= set(before["items"]) and after["objects"] == before["objects"]
+    t = S.Reader(spark, o.folder).tables()
+    assert t["items"].count() == 13 and rows(t["items"].filter("link_id = 'more'"), "seq") == [(13,)]
+    assert rows(t["meta"], "next_seq") == [(14,)] and rows(t["collections"].filter("id = 'c3'"), "account") == [("me",)]
+
+
+def test_draft_tables_lack_columns(spark, tmp_path):
+    o = S.Owner(spark, f"{tmp_path}/s")
+    path = f"{tmp_path}/s/tables/draft"
+    spark.createDataFrame([("c", "a", "left", "h", None, None, None)], "collection string, link_id string, source string, handle string, base_flags string, base_object string, base_revision string").write.parquet(path)
+    o.manifest["tables"]["bindings"] = {"0": [path]}
+    assert rows(o.tables()["bindings"], "handle", "conflicted", "conflict_revision") == [("h", 0, None)]
