@@ -65,7 +65,7 @@ def parser() -> argparse.ArgumentParser:
     add("drain")
     add("info")
     add("check", ("--fix", {"action": "store_true"}), ("--grace", {"default": "1h"}))
-    add("export", ("to", {}))
+    add("export", ("to", {}), ("--no-objects", {"action": "store_true"}), ("--no-retained", {"action": "store_true"}), ("--force", {"action": "store_true"}))
     return p
 
 
@@ -115,10 +115,11 @@ def run(spark: SparkSession, argv: list[str], now: dt.datetime | None = None) ->
             if len(rows) != 1:
                 raise SystemExit(f"{len(rows)} placements of {args.seq}; one is needed")
             if args.command == "body":
-                body = blobs.get(spark, f"{reader.folder}/objects", rows[0].object_hash) if rows[0].object_hash else None
+                body = blobs.stream(spark, f"{reader.folder}/objects", rows[0].object_hash) if rows[0].object_hash else None
                 if body is None:
                     raise SystemExit("no body")
-                sys.stdout.buffer.write(body)
+                for piece in body:
+                    sys.stdout.buffer.write(piece)
             else:
                 if rows[0].retained_at is None:
                     raise SystemExit("not retained")
@@ -177,7 +178,11 @@ def run(spark: SparkSession, argv: list[str], now: dt.datetime | None = None) ->
                     blobs.remove(spark, f"{reader.folder}/objects", r.hash)
             return int(total > 0)
         case "export":
-            print(export.export(t, args.to).count(), "bodies")
+            try:
+                done = export.export(t, args.to, None if args.no_objects else f"{reader.folder}/objects", not args.no_retained, args.force, now.strftime("%Y-%m-%dT%H:%M:%SZ"))
+            except FileExistsError as e:
+                raise SystemExit(f"{e}: pass --force to overwrite it") from e
+            print(f"{len(done['collections'])} collections, {sum(c['live'] + c['retained'] for c in done['collections'])} items, {done['objects']} bodies, {done['missing_objects']} missing")
     return 0
 
 

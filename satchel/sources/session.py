@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -32,7 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/satchel-{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that is deleted when the session ends."""
+    path = f"{shared_dir(spark)}/satchel-{name}-{uuid.uuid4().hex}"
+    _LEFT.append((spark, path))
+    return path
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -41,6 +45,26 @@ def hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def uri(spark: SparkSession, path: str) -> str:
+    """A path with its file system's scheme, as others than Spark need it."""
+    p, fs = hadoop_path(spark, path)
+    return fs.makeQualified(p).toString().replace("file:/", "file:///", 1) if fs.getScheme() == "file" else fs.makeQualified(p).toString()
+
+
+_LEFT: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _drop_rest() -> None:
+    """Delete what this session has written to the shared folder."""
+    for spark, path in _LEFT:
+        try:
+            p, fs = hadoop_path(spark, path)
+            fs.delete(p, True)
+        except Exception:  # noqa: BLE001 - the session has gone
+            return
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: the lineage ends there, and lost executors lose nothing."""
     path = fresh_path(df.sparkSession, name)

@@ -65,15 +65,26 @@ def test_export_and_commands(spark, tmp_path, capsys):
     folder = f"{tmp_path}/s"
     t = tables(spark, DATA)
     S.import_tables(spark, folder, t)
-    got = export.export(S.Reader(spark, folder).tables(), f"{tmp_path}/out")
-    assert got.count() > 0
+    some = t["items"].filter("object_hash is not null and deleted = 0").first().object_hash
+    blobs.put(spark, f"{folder}/objects", some, iter([b"a" * 1000, b"b" * 7]))
+    assert b"".join(blobs.stream(spark, f"{folder}/objects", some, 100)) == b"a" * 1000 + b"b" * 7
+    got = export.export(S.Reader(spark, folder).tables(), f"{tmp_path}/out", f"{folder}/objects")
+    assert (got["objects"], got["object_bytes"]) == (1, 1007) and got["missing_objects"] > 1
+    assert (tmp_path / "out" / "objects" / some[:2] / some[2:4] / some).read_bytes()[-7:] == b"b" * 7
     lines = spark.read.text(f"{tmp_path}/out/items").count()
     assert lines == t["items"].filter("deleted = 0 or retained_at is not null").count()
-    assert json.loads((tmp_path / "out" / "manifest.json").read_text())["version"] == 1
+    assert json.loads((tmp_path / "out" / "manifest.json").read_text()) == got
+    for c in got["collections"][:4]:
+        assert c["live"] == (spark.read.text(f"{tmp_path}/out/{c['items']}").count() if c["items"] else 0)
+    with pytest.raises(SystemExit, match="force"):
+        cli.run(spark, [folder, "export", f"{tmp_path}/out"])
+    assert cli.run(spark, [folder, "export", f"{tmp_path}/out", "--force", "--no-retained"]) == 0
+    assert spark.read.text(f"{tmp_path}/out/items").count() == t["items"].filter("deleted = 0").count()
     for args in (["collections"], ["items", "en/src1", "--limit", "2"], ["retained", "en/src1"], ["show", "1"], ["queue"], ["info"]):
         assert cli.run(spark, [folder, *args]) == 0
     assert cli.run(spark, [folder, "check"]) == 1
-    assert "refcount drift: 9" in capsys.readouterr().out
+    drift = t["objects"].join(checks.references(t["items"], t["bindings"], t["queue"]), "hash", "left").filter("refcount <> coalesce(expected, 0)").count()
+    assert f"refcount drift: {drift}" in capsys.readouterr().out and drift > 0
     with pytest.raises(SystemExit):
         cli.run(spark, [folder, "--json", "purge", "--older-than", "1d"])
     gone = t["items"].filter("retained_at is not null").orderBy("seq").first()
