@@ -122,9 +122,9 @@ class Owner(Reader):
         if name not in PLACED:
             df.write.parquet(path)
             return [path]
-        # by ranges of the key, so a large collection is written by many tasks, and files' statistics serve the pages
+        # by buckets, of which adaptive execution gives a large one to many tasks; sorted, so files' statistics serve the pages
         order = ["bucket", PLACED[name], *(["sort_key", "seq"] if name == "items" else [])]
-        df.withColumn("bucket", self.bucket(PLACED[name])).repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+        df.withColumn("bucket", self.bucket(PLACED[name])).hint("rebalance", F.col("bucket")).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
         p, fs = session.hadoop_path(self.spark, path)
         new = {n[7:]: [f"{path}/{n}"] for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("bucket=")}
         held = self.manifest["tables"].get(name)

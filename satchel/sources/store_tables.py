@@ -6,8 +6,11 @@ and data folder, and hands out the scans of that snapshot."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
+from satchel.operators import changes
 from satchel.sources import session
 
 SPARK = {"SHA": "sha2({}, 256)", "BYTES": "octet_length({})", "ISO": "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"}
@@ -26,8 +29,10 @@ select d.doc_id, d.lang, d.source, cast(substr(d.source, 4) as int) as src_no, c
   case when l.quality = 1 and l.toxic = 1 then '["$flagged","$seen"]' when l.quality = 1 then '["$seen"]' when l.toxic = 1 then '["$flagged"]' else '[]' end as flags
 from documents d left join events e on e.event_id = d.doc_id left join labels l on l.doc_id = d.doc_id""",
         "one": "select * from (select base.*, row_number() over (partition by collection, link_id order by doc_id) as rn from base) x where rn = 1",
+        "firsts": "select link_id, min(doc_id) as first_doc from one group by link_id",
+        "ranked": "select link_id, cast(row_number() over (order by first_doc, link_id) as bigint) as seq from firsts",
         "items": f"""
-select collection, link_id, cast(dense_rank() over (order by first_doc, link_id) as bigint) as seq, flags,
+select collection, y.link_id, seq, flags,
   case when doc_id % 10 < 7 then h end as object_hash,
   case when doc_id % 10 < 9 then concat('{{"v":1,"lang":"', lang, '","n":', cast(n_chars as varchar(20)), '}}') end as meta,
   case when doc_id % 11 = 0 then '' else {iso("date_trunc('day', ts)")} end as sort_key,
@@ -36,7 +41,7 @@ select collection, link_id, cast(dense_rank() over (order by first_doc, link_id)
   case when doc_id % 7 = 0 then {iso("ts")} end as retained_at,
   case when doc_id % 7 = 0 then 'left' end as retained_by,
   case when doc_id % 31 = 0 then 1 else 0 end as conflicted, cast(null as varchar(64)) as conflict_object
-from (select one.*, min(doc_id) over (partition by link_id) as first_doc from one) y""",
+from one y join ranked r on r.link_id = y.link_id""",
         "collections": """
 select collection as id, nullif(lang, 'en') as account, case when src_no % 7 = 0 then '' else 'text/plain' end as kind, collection as name,
   cast(null as varchar(64)) as parent, case when src_no % 3 = 0 then null else src_no end as sort_order, 'manual' as conflict, 1 + src_no % 2 as generation
@@ -95,11 +100,23 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     own = definitions(SPARK)
     done: dict[str, str] = {}
     scans: dict[str, DataFrame] = {}
-    for name in ("base", "items", "bindings", "queue", "collections", "objects", "sources", "meta", "blobs"):
+
+    def sql(name: str) -> DataFrame:
         ctes = [*raw.items(), *((n, f"select * from parquet.`{done[n]}`" if n in done else t) for n, t in own.items())]
-        done[name] = session.fresh_path(spark, name)
-        df = spark.sql("with " + ", ".join(f"{n} as ({t})" for n, t in ctes) + f" select * from {name}")
-        df.write.parquet(done[name])
-        scans[name] = spark.read.schema(df.schema).parquet(done[name])
+        return spark.sql("with " + ", ".join(f"{n} as ({t})" for n, t in ctes) + f" select * from {name}")
+
+    def write(name: str) -> tuple[str, str, DataFrame]:
+        # the numbers of links are given by ranges, not by one window
+        df = changes.numbered(sql("firsts"), ["first_doc", "link_id"], 1, "seq").select("link_id", "seq") if name == "ranked" else sql(name)
+        path = session.fresh_path(spark, name)
+        df.write.parquet(path)
+        return name, path, spark.read.schema(df.schema).parquet(path)
+
+    # each step needs the steps before; what is in one step runs at once
+    with ThreadPoolExecutor(4) as pool:
+        for step in (("base",), ("ranked", "collections", "blobs"), ("items",), ("bindings", "queue", "meta"), ("objects", "sources")):
+            found = list(pool.map(write, step))
+            done |= {name: path for name, path, _ in found}
+            scans |= {name: df for name, _, df in found if name != "ranked"}
     _OPEN[sf_dir] = (spark, scans)
     return dict(scans)
