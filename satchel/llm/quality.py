@@ -301,7 +301,8 @@ def estimate(numbers: DataFrame) -> DataFrame:
     for name in ("own", "lang", "all"):
         of = model.select(F.col("g").alias(f"{name}_g"), F.struct("n", F.array(*MEAN).alias("m"), F.array(*SCATTER).alias("c")).alias(f"of_{name}"))
         wide = wide.join(of, f"{name}_g", "left")
-    return _drawn(wide)
+    # written, so that its size is known: small enough, it is broadcast to the join with the documents
+    return common.scratch(_drawn(wide), "estimates")[0]
 
 
 def _drawn(wide: DataFrame) -> DataFrame:

@@ -89,13 +89,15 @@ def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 def word_ids(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for each word, the same for words of the same bytes and for no others."""
+    """A number for each word, the same for words of the same bytes and for no others. The numbers are in no order: if they rose
+    along the text, as those of the dictionary do, induced sorting would advance by far shorter stretches."""
     from satchel.llm.common import ranges
 
     offsets = np.append(0, np.cumsum(ends - starts))
     held = raw[ranges(starts, ends - starts)]
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
-    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
+    held = words.dictionary_encode()
+    return np.argsort(mix(np.arange(1, len(held.dictionary) + 1, dtype=np.uint64)))[held.indices.to_numpy()]
 
 
 _ROOTS: list[np.ndarray] = []

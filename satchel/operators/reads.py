@@ -150,6 +150,11 @@ def retained_item(items: DataFrame, collection: str, seq: int | None = None, lin
     return items.filter((F.col("collection") == collection) & retained() & (F.col("seq") == seq if link is None else F.col("link_id") == link))
 
 
+def retained_items(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Retained items by (collection, seq)."""
+    return items.filter(retained()).join(wanted.select("collection", "seq").distinct(), ["collection", "seq"], "left_semi").select("collection", *ITEM, "retained_at")
+
+
 def lookup_objects(items: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """The body of each link that has one; of several, that of the last collection."""
     rows = items.filter(F.col("object_hash").isNotNull())

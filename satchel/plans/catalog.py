@@ -540,11 +540,9 @@ def lookup_objects_json(t: Tables) -> DataFrame:
     return reads.lookup_objects(t["items"], reads.json_ids(lists, "ids"))
 
 
-@query("select collection, link_id, seq, object_hash from items where retained_at is not null and link_id in (select link_id from items where deleted = 0)")
-def retained_elsewhere(t: Tables) -> DataFrame:
-    """Retained items of which the link lives on in some collection."""
-    links = t["items"].filter(reads.live()).select("link_id").distinct()
-    return t["items"].filter(reads.retained()).join(links, "link_id", "left_semi").select("collection", "link_id", "seq", "object_hash")
+@query(f"select i.collection, {ITEM}, retained_at from items i where retained_at is not null and exists (select 1 from queue q where q.collection = i.collection and q.id = i.seq)")
+def retained_item(t: Tables) -> DataFrame:
+    return reads.retained_items(t["items"], t["queue"].select("collection", F.col("id").alias("seq")))
 
 
 def _batch(t: Tables) -> dict[str, DataFrame]:

@@ -297,7 +297,7 @@ def test_words_that_sums_of_powers_confuse():
     raw = np.frombuffer(f"{a} {b} {a}".encode(), np.uint8)
     starts, ends, _ = words.bounds(raw, np.array([0, len(raw)]))
     h, ids = words.hash_words(raw, starts, ends), words.word_ids(raw, starts, ends)
-    assert h[0] == h[2] != h[1] and ids.tolist() == [0, 1, 0]
+    assert h[0] == h[2] != h[1] and ids[0] == ids[2] != ids[1] and sorted(set(ids.tolist())) == [0, 1]
     # the same pattern of words: the second hash tells the runs apart
     run = np.array([3, 5], np.uint64)[[ord(c) - ord("a") for c in a + b]]
     assert len(set(words.prime_sums(run, np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 2
