@@ -101,9 +101,10 @@ def purge_one(items: DataFrame, collection: str, seq: int) -> DataFrame:
 
 
 def purge_each(items: DataFrame, which: DataFrame) -> DataFrame:
-    """items without the retained ones of `which` (collection, seq)."""
-    hit = items.filter(retained()).select("collection", "seq").join(which.select("collection", "seq").distinct(), ["collection", "seq"], "left_semi").withColumn("__gone", F.lit(True))
-    return items.join(hit, ["collection", "seq"], "left").filter(~retained() | F.col("__gone").isNull()).select(items.columns)
+    """items without the retained ones of `which`: (collection, seq), or (seq) for those numbers in whatever collection. Only what is
+    retained is shuffled."""
+    keys = [c for c in ("collection", "seq") if c in which.columns]
+    return items.filter(~retained()).unionByName(items.filter(retained()).join(which.select(*keys), keys, "left_anti"))
 
 
 def purge_before(items: DataFrame, cutoff: str) -> DataFrame:

@@ -196,8 +196,7 @@ def retained_before(t: Tables) -> DataFrame:
 @query("select collection, link_id, seq, retained_at from items where not (retained_at is not null and seq in (select id from queue where error is not null))")
 def purge_one(t: Tables) -> DataFrame:
     """In each collection, the retained items that have the numbers of parked actions."""
-    which = t["collections"].select(F.col("id").alias("collection")).join(reads.parked(t["queue"]).select(F.col("id").alias("seq")).distinct())
-    return changes.purge_each(t["items"], which).select("collection", "link_id", "seq", "retained_at")
+    return changes.purge_each(t["items"], reads.parked(t["queue"]).select(F.col("id").alias("seq"))).select("collection", "link_id", "seq", "retained_at")
 
 
 @query(f"select collection, link_id, seq, retained_at from items where retained_at is null or retained_at >= '{CUTOFF}'")

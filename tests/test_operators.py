@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from satchel.functions import columns as C
 from satchel.operators import changes, checks, drain, hub, reads
+from satchel.plans import catalog
 from satchel.plans.store import SCHEMAS
 from satchel.sources import session
 
@@ -95,6 +96,26 @@ def test_cutoff_is_strict_and_textual(spark):
     assert rows(changes.purge_one(t["items"], "c", 9), "seq") == [(1,), (2,), (3,), (4,), (9,)]
 
 
+def test_purge_by_numbers_needs_no_collections(spark):
+    gone = dict(deleted=1, retained_at=NOW, retained_by="left")
+    parked = [dict(id=i, collection="c", action="submit", error="no") for i in (1, 2, 9)] + [dict(id=3, collection="c", action="submit")]
+    t = store(spark, [item("c", "a", 1, **gone), item("d", "a", 1, **gone), item("c", "b", 2), item("d", "b", 2, **gone), item("c", "p", 3, **gone), item("e", "q", 4, **gone)], queue=parked)
+    left = [("c", 2), ("c", 3), ("e", 4)]
+    assert rows(catalog.purge_one(t), "collection", "seq") == left
+    assert rows(catalog.purge_one(t | {"collections": table(spark, "collections")}), "collection", "seq") == left
+    plan = catalog.purge_one(t)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan  # collections times actions grows faster than either
+
+
+def test_purge_of_one_collection_leaves_the_others(spark):
+    gone = dict(deleted=1, retained_at=NOW, retained_by="left")
+    t = store(spark, [item("c", "a", 1, **gone), item("d", "a", 1, **gone), item("c", "b", 2), item("c", "e", 3, **gone)])
+    which = spark.createDataFrame([("c", 1), ("c", 1), ("c", 2), ("zz", 3)], "collection string, seq bigint")
+    after = changes.purge_each(t["items"], which)
+    assert after.columns == t["items"].columns
+    assert rows(after, "collection", "seq") == [("c", 2), ("c", 3), ("d", 1)]
+
+
 def test_shared_body_survives_until_its_last_holder(spark):
     gone = dict(deleted=1, retained_at="2026-01-01T00:00:00.000Z", retained_by="left")
     t = store(spark, [item("c", "a", 1, object_hash="h", **gone), item("d", "a", 1, object_hash="h")], objects=[dict(hash="h", size=7, refcount=2)])
