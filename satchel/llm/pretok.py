@@ -25,6 +25,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 1 << 21
 #: Characters of pre-tokens that a worker keeps before it starts anew.
 KEPT = 1 << 25
+#: Bytes of text that are encoded at a time; the arrays for them need some 60 times as much memory.
+RUN_BYTES = 1 << 18
 #: Cuts that never divide a pre-token: before a lone blank between two other characters, and after a letter or digit before a
 #: character that is none of these, nor a blank or an apostrophe.
 SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r]\S)|(?<=[^\W_])(?=[^\w\s']|_)")
@@ -37,7 +39,8 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     import regex
 
     kinds = np.zeros(TOP, np.uint8)
-    whole = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, TOP)))
+    codes = np.arange(TOP, dtype="<u4")
+    whole = np.delete(codes, slice(0xD800, 0xE000)).tobytes().decode("utf-32-le")  # a list of all characters would take 80 MB
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
         for m in regex.finditer(pattern, whole):
             a, b = (x + (0x800 if x >= 0xD800 else 0) for x in (m.start(), m.end() - 1))
@@ -111,11 +114,13 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
+        # as long as they are meant to get: pages of zeros that nothing is written to take no memory, while growing would take both copies
+        half = self.slots // 2
         self.keys, self.where = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
-        self.off, self.num, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), 0
-        self.flat, self.used = np.zeros(1 << 18, np.int32), 0
+        self.off, self.num, self.n = np.zeros(half, np.int32), np.zeros(half, np.int32), 0
+        self.flat, self.used = np.zeros(8 * half, np.int32), 0
         # the pre-tokens themselves, as code points
-        self.chars, self.first, self.size, self.held = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        self.chars, self.first, self.size, self.held = np.zeros(KEPT, np.uint32), np.zeros(half, np.int64), np.zeros(half, np.int64), 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Where each hash is kept, -1 if it isn't."""
@@ -211,7 +216,7 @@ class Encoder:
         flat, counts = [], np.zeros(len(arr), np.int64)
         at = 0
         batch = pa.record_batch([arr], names=["t"])
-        for part in steps(batch, "t"):
+        for part in steps(batch, "t", RUN_BYTES):
             col = pc.fill_null(part.column(0), "")
             chars = pc.utf8_length(col).to_numpy(zero_copy_only=False).astype(np.int64)
             if len(col) == 1 and chars[0] > STEP_BYTES // 2:

@@ -4,6 +4,8 @@ import json
 import math
 import random
 import re
+import subprocess
+import sys
 from collections import defaultdict
 
 import numpy as np
@@ -42,6 +44,27 @@ def test_pre_tokens(texts):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+WORKER = """
+import random, re, sys
+sys.path.insert(0, sys.argv[1])
+import pyarrow as pa
+from satchel.llm import pretok
+mb = lambda key: int(re.search(key + r":\\s+(\\d+)", open("/proc/self/status").read())[1]) >> 10
+rng, path = random.Random(0), pretok.default_path()
+pretok.tiktoken_of(path)
+begun, own = mb("VmRSS"), pretok.rank_encoder(path)
+for _ in range(24):
+    own.encode(pa.array([" ".join(f"word{rng.randrange(1 << 20)}" for _ in range(200)) for _ in range(400)]))
+print(own.n, mb("VmHWM") - begun)
+"""
+
+
+def test_a_workers_tables_take_what_is_in_them():
+    out = subprocess.run([sys.executable, "-c", WORKER, common.ROOT], capture_output=True, text=True, check=True).stdout
+    kept, mb = map(int, out.split())
+    assert kept > 800_000 and mb < 190  # 238 when tables were doubled as copies and 1 MB of text was encoded at a time
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
 def test_made_model_has_the_ids_of_the_ranks(name):
     path = pretok.default_path(name)
